@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, token_pack
 from .chunk_dedup import exact_dedup
 from .mixing import mix
-from .store import documents
+from .store import documents, new_path
 from .vafile import top_k
 
 
+def tokenizer_path() -> str:
+    """File of the tokenizer: $RUNLEDGER_TOKENIZER, else the 50k byte-level vocabulary of public_tokenizers."""
+    if path := os.environ.get("RUNLEDGER_TOKENIZER"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "ids")
+    return token_pack.read_digests(spark, folder, len(token_pack.write(documents(spark, sf_dir), tokenizer_path(), folder)))
+
+
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -18,12 +36,18 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(documents(spark, sf_dir), tokenizer_path())
+    n = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op3_chunk_dedup, op7_source_mix, op10_vector_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_pack, op3_chunk_dedup, op7_source_mix, op8_word_bpe, op10_vector_top_k)}
 
 ORACLES = {
     "op3_chunk_dedup": r"""
@@ -32,7 +56,7 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
     "op10_vector_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings),
+        WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_pack
+from . import bpe, licenses, pii, token_pack, tool_calls
 from .chunk_dedup import exact_dedup
 from .mixing import mix
 from .store import documents, new_path
@@ -28,10 +28,27 @@ def op1_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.read_digests(spark, folder, len(token_pack.write(documents(spark, sf_dir), tokenizer_path(), folder)))
 
 
+def op2_traced_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *of_kind, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return tool_calls.link(*tool_calls.turns_as_calls(rows), tool_calls.REPLY)
+
+
+def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -47,7 +64,7 @@ def op10_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_pack, op3_chunk_dedup, op7_source_mix, op8_word_bpe, op10_vector_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_pack, op2_traced_pii, op3_chunk_dedup, op4_tool_calls, op6_license_diagonals, op7_source_mix, op8_word_bpe, op10_vector_top_k)}
 
 ORACLES = {
     "op3_chunk_dedup": r"""
@@ -55,6 +72,20 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op4_tool_calls": r"""
+        WITH c AS (SELECT * FROM conversations WHERE role = 'user'),
+        a AS (SELECT conv_id, turn, arg_min(text, turn) OVER (PARTITION BY conv_id, turn) AS text FROM conversations WHERE role = 'assistant')
+        SELECT c.conv_id, 'call-' || c.turn AS call_id, c.turn, 0 AS place,
+               printf('%012d.%06d', c.turn, 0) AS order_key, a.turn AS result_turn,
+               CASE WHEN a.turn IS NULL THEN 'pending' ELSE 'linked' END AS status,
+               true AS args_valid,
+               CAST(CASE WHEN c.turn >= 2 AND p.turn IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS n_needs_kept,
+               CAST(CASE WHEN c.turn >= 2 AND p.turn IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_needs_cut,
+               '{"arguments":{"text":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"call-' || c.turn
+                 || '","name":"reply","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS message
+        FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
+        LEFT JOIN (SELECT x.conv_id, x.turn FROM c x JOIN a y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1) p
+          ON p.conv_id = c.conv_id AND p.turn = c.turn - 2""",
     "op10_vector_top_k": """
         WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score

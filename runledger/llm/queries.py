@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, pii, token_pack, tool_calls
+from . import bpe, licenses, pii, quality, token_pack, tool_calls
 from .chunk_dedup import exact_dedup
 from .mixing import mix
 from .store import documents, new_path
@@ -31,7 +31,7 @@ def op1_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_traced_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["base"])
-    of_kind = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of_kind = [F.size(F.filter(base, lambda s: s["kind"] == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *of_kind, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
@@ -59,12 +59,20 @@ def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(docs, labels)
+    scored = quality.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op10_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_pack, op2_traced_pii, op3_chunk_dedup, op4_tool_calls, op6_license_diagonals, op7_source_mix, op8_word_bpe, op10_vector_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_pack, op2_traced_pii, op3_chunk_dedup, op4_tool_calls, op6_license_diagonals, op7_source_mix, op8_word_bpe, op9_subword_quality, op10_vector_top_k)}
 
 ORACLES = {
     "op3_chunk_dedup": r"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, licenses, pii, quality, token_pack, tool_calls
 from .chunk_dedup import exact_dedup
 from .mixing import mix
+from .shingle_join import jaccard_components
 from .store import documents, new_path
 from .vafile import top_k
 
@@ -45,6 +46,10 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.turns_as_calls(rows), tool_calls.REPLY)
 
 
+def op5_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -72,7 +77,7 @@ def op10_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_pack, op2_traced_pii, op3_chunk_dedup, op4_tool_calls, op6_license_diagonals, op7_source_mix, op8_word_bpe, op9_subword_quality, op10_vector_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_pack, op2_traced_pii, op3_chunk_dedup, op4_tool_calls, op5_token_groups, op6_license_diagonals, op7_source_mix, op8_word_bpe, op9_subword_quality, op10_vector_top_k)}
 
 ORACLES = {
     "op3_chunk_dedup": r"""

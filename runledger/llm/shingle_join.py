@@ -180,18 +180,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         matrix = small.groupBy("token", "g").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.max("m_left").alias("most"), F.min_by("b", F.struct("m", "b")).alias("b"))
         floor = F.greatest(F.col("low"), F.ceil(3 * F.col("n") / 4))
         may = (F.col("grp") != F.col("g")) & (F.col("low") <= F.col("n")) & (4 * F.col("high") >= 3 * F.col("n"))
-        may &= 7 * F.least("left", "most") >= 3 * (F.col("n") + floor)
-        probe = materialise(cross.join(matrix, "token").where(may).select(F.col("rep").alias("a"), "n", "g", "low", "high", "b"), f"probe-{wave}")
-        bounds = probe.groupBy("a", "n", "g").agg(F.count(F.lit(1)).alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
-        open_ = materialise(bounds.where(_enough(F.col("hits"), F.col("n"), floor, F.least("high", "n"))).select("a", "g"), f"open-{wave}")
+        # Behind the first common token of a linked pair as many tokens are left as it shares, but not behind the
+        # later ones: all common tokens are hits, and one of them must stand early enough.
+        early = 7 * F.least("left", "most") >= 3 * (F.col("n") + floor)
+        hits = cross.join(matrix, "token").where(may).groupBy(F.col("rep").alias("a"), "n", "g", "b")
+        hits = hits.agg(F.count(F.lit(1)).alias("count"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(early).alias("early"))
+        probe = materialise(hits, f"probe-{wave}")
+        bounds = probe.groupBy("a", "n", "g").agg(F.sum("count").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("early").alias("early"))
+        open_ = materialise(bounds.where(F.col("early") & _enough(F.col("hits"), F.col("n"), floor, F.least("high", "n"))).select("a", "g"), f"open-{wave}")
         if wave == 1:
-            tried = probe.groupBy("a", "g", "b").count().join(open_, ["a", "g"], "left_semi")
+            tried = probe.join(open_, ["a", "g"], "left_semi")
             found = tried.groupBy("a", "g").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         else:
+            # Pairs with an early hit are few; all their hits are counted from the two prefixes, without a join by token.
             fit = (F.col("grp") != F.col("g")) & (F.col("m") <= F.col("n")) & (4 * F.col("m") >= 3 * F.col("n")) & (7 * F.least("left", "m_left") >= 3 * (F.col("n") + F.col("m")))
             asked = cross.join(open_.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
-            both = asked.join(small, "token").where(fit).groupBy(F.col("rep").alias("a"), "n", "g", "b", "m").count()
-            found = both.where(_enough(F.col("count"), F.col("n"), F.col("m"), F.col("m"))).join(open_, ["a", "g"], "left_semi")
+            met = asked.join(small, "token").where(fit).groupBy(F.col("rep").alias("a"), "n", "g", "b", "m").count()
+            met = narrow_side(materialise(met.join(open_, ["a", "g"], "left_semi").select("a", "b", "n", "m"), f"met-{wave}"))
+            mine = own.select(F.col("row_id").alias("a"), "prefix").join(met, "a")
+            index_b = own.select(F.col("row_id").alias("b"), F.expr("slice(prefix, 1, cast(n div 7 + 1 as int))").alias("index")).join(met.select("b").distinct(), "b", "left_semi")
+            both = mine.join(index_b, "b").withColumn("count", F.size(F.array_intersect("prefix", "index")))
+            found = both.where(_enough(F.col("count"), F.col("n"), F.col("m"), F.col("m")))
         pairs = materialise(found.select("a", "b"), f"pairs-{wave}")
         new = materialise(_verified(pairs, blobs), f"links-{wave}")
         links = links.unionByName(new)

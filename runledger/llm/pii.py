@@ -90,7 +90,8 @@ _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six sev
 _NUMERAL = rf"(?:{'|'.join(_DIGITS)}|[0-9])"
 _GAP = r"[\x20\t]?[-,.]?[\x20\t]?"
 _WRITTEN = rf"\b(?:{'|'.join(_DIGITS)})\b"
-_SPELLED = re.compile(rf"(?:\bplus[\x20-]+|\+\x20?)?\b{_NUMERAL}(?:(?:{_GAP}\b|\x20\(?|\)\x20?){_NUMERAL}\b)+", re.I)
+_BETWEEN = rf"(?:{_GAP}\b|\x20\(?|\)\x20?)"
+_SPELLED = re.compile(rf"(?:\bplus[\x20-]+|\+\x20?)?\b{_NUMERAL}(?:{_BETWEEN}{_NUMERAL}\b)+", re.I)
 _SPOKEN_DOT = re.compile(rf"(?<=[0-9])\x20+(?:dot|point)\x20+(?=[0-9])", re.I)
 _WORD = re.compile(_WRITTEN, re.I)
 _OPEN, _SHUT = r"\x20?[\[({<]\x20?", r"\x20?[\])}>]\x20?"
@@ -98,7 +99,14 @@ _MARKED_AT = re.compile(rf"{_OPEN}(?:at|@|arroba|ät){_SHUT}", re.I)
 _MARKED_DOT = re.compile(rf"{_OPEN}(?:dot|\.|punto|point|punkt){_SHUT}", re.I)
 _NAME = r"[A-Za-z0-9_%+-]+"
 _SPOKEN = re.compile(rf"{_NAME}(?:(?:\.|\x20dot\x20){_NAME})*(?:\x20at\x20|@){_NAME}(?:(?:\.|\x20dot\x20){_NAME})+", re.I)
-_TRIGGER = re.compile(rf"{_OPEN}(?:at|@|arroba|ät|dot|\.|punto|point|punkt){_SHUT}|\bdot\b|{_WRITTEN}[\x20,-]+{_WRITTEN}", re.I)
+# What _MARKED_AT, _MARKED_DOT, _SPOKEN, _SPOKEN_DOT, _SPELLED_IP and _SPELLED can change holds one of these: a mark in
+# brackets, the word dot, point between numerals, or a written digit beside another numeral with what _SPELLED allows
+# between them (the hyphen, space or full stop of _SPELLED_IP is among that). All start from the text as it stands.
+_TRIGGER = re.compile(
+    rf"{_OPEN}(?:at|@|arroba|ät|dot|\.|punto|point|punkt){_SHUT}|\bdot\b|{_NUMERAL}\x20*\bpoint\b\x20*{_NUMERAL}"
+    rf"|{_WRITTEN}{_BETWEEN}{_NUMERAL}\b|\b[0-9]{_BETWEEN}{_WRITTEN}",
+    re.I,
+)
 _TRIGGERS = re.compile(r"dot|punto|point|punkt|[\[({<]|zero|one|two|three|four|five|six|seven|eight|nine|oh", re.I)
 
 
@@ -174,7 +182,11 @@ def _spoken(m: re.Match) -> str:
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     strange = not text.isascii() and _STRANGE.search(text)
     if not strange and not (_TRIGGERS.search(text) and _TRIGGER.search(text)):
-        return []
+        return []  # the chain would change nothing
+    return rewritten_spans(text, plain, strange)
+
+
+def rewritten_spans(text: str, plain: list[tuple[str, int, int]], strange=True) -> list[tuple[str, int, int]]:
     t = Traced(text)
     if strange:
         t.rewrite(_STRANGE, _look)

@@ -1,10 +1,12 @@
 """Linking of tool calls to their results, in DataFrame functions only.
 
 Calls and results are hash-joined by conversation and identifier, so one very long conversation is dealt to
-many tasks. A call may name calls it depends on. A dependency is kept if the named call stands earlier in the
-transcript and its result came before the dependent call; others are cut and reported. Every cycle holds an
-edge to the same or a later call, so what is kept has no cycle, and transcript order (turn, place) is a
-topological order of it: `order_key` sorts a conversation's calls topologically without gathering them.
+many tasks. A call may name calls it depends on, wherever they stand. A dependency on a call that is missing or has
+no result is cut, and of each cycle the dependencies on the same or a later call of the transcript; all others are
+kept. Without those of a cycle no cycle is left, for the rest of a cycle would only lead back. `order_key` sorts a
+conversation's calls topologically, near the transcript: a call stands at its own place (turn, place), or behind the
+last of what it depends on, directly or not, with the length of the way there appended. Cycles and places are
+found by rounds of joins, each written, over conversations that depend on a later call; the others need none.
 Arguments are validated against a schema (name of tool -> argument -> type, required or not) and written as
 canonical JSON: keys in code-point order, no white space.
 
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 #: JSON types that a schema may ask for, and how an argument of that type looks when written as JSON.
 TYPES = {
     "string": r'(?s)^".*"$',
@@ -52,6 +56,69 @@ def valid_arguments(tool, arguments, schemas: dict[str, dict[str, tuple[str, boo
     return ok
 
 
+def _rounds(state: DataFrame, step, measure, label: str) -> DataFrame:
+    """state after as many steps as change the measure (aggregates over state); each is written."""
+    state = materialise(state, label)
+    seen = state.agg(*measure).first()
+    while True:
+        state = materialise(step(state), label)
+        now = state.agg(*measure).first()
+        if now == seen:
+            return state
+        seen = now
+
+
+def _cycle_cuts(edges: DataFrame) -> DataFrame:
+    """edges: conv_id, u, u_at, v, v_at; call u at u_at depends on v. The distinct conv_id, u, v to cut.
+
+    Calls on no way between cycles go first. Each call then takes as colour the last call it leads to; a call of its own
+    colour and those of the colour it leads to are one strongly connected part, which is taken out, until none is left.
+    """
+    found, count = None, [F.count("conv_id")]
+    rest = edges
+    while True:
+        has = lambda e, mine, other: e.join(e.select("conv_id", F.col(other).alias(mine)).distinct(), ["conv_id", mine], "left_semi")
+        rest = _rounds(rest, lambda e: has(has(e, "v", "u"), "u", "v").select(*edges.columns), count, "cycle-edges")
+        if rest.isEmpty():
+            return found
+        nodes = rest.select("conv_id", F.col("u").alias("x"), F.struct(F.col("u_at").alias("at"), F.col("u").alias("x")).alias("own")).distinct().withColumn("colour", F.col("own"))
+
+        def spread(state, rest=rest):
+            ahead = rest.select("conv_id", F.col("u").alias("by"), F.col("v").alias("x")).join(state.select("conv_id", "x", "colour"), ["conv_id", "x"])
+            ahead = ahead.groupBy("conv_id", F.col("by").alias("x")).agg(F.max("colour").alias("ahead"))
+            return state.join(ahead, ["conv_id", "x"], "left").select("conv_id", "x", "own", F.greatest("colour", "ahead").alias("colour"))
+
+        coloured = _rounds(nodes, spread, [F.sum(F.xxhash64("conv_id", "x", "colour").cast("decimal(38,0)"))], "colours")
+        of = coloured.select("conv_id", "x", "colour")
+        same = rest.join(of.withColumnsRenamed({"x": "u", "colour": "cu"}), ["conv_id", "u"]).join(of.withColumnsRenamed({"x": "v", "colour": "cv"}), ["conv_id", "v"])
+        same = materialise(same.where("cu = cv").select("conv_id", "u", "u_at", "v", "v_at"), "one-colour")
+
+        def reach(state, same=same):
+            return state.unionByName(same.join(state.withColumnRenamed("x", "u"), ["conv_id", "u"], "left_semi").select("conv_id", F.col("v").alias("x"))).distinct()
+
+        part = _rounds(coloured.where("own = colour").select("conv_id", "x"), reach, count, "parts")
+        inside = lambda e, c, how: e.join(part.withColumnRenamed("x", c), ["conv_id", c], how)
+        cut = materialise(inside(inside(same, "u", "left_semi"), "v", "left_semi").where("v_at >= u_at").select("conv_id", "u", "v"), "cycle-cuts")
+        found = cut if found is None else found.unionByName(cut)
+        rest = inside(inside(rest, "u", "left_anti"), "v", "left_anti").select(*edges.columns)
+
+
+def _places(edges: DataFrame) -> DataFrame:
+    """edges as above, without cycles. conv_id, call_id, spot (turn, place, level) of the calls in them."""
+    spot = lambda at: F.struct(F.col(f"{at}.turn").cast("long").alias("turn"), F.col(f"{at}.place").cast("long").alias("place"), F.lit(0).cast("long").alias("level"))
+    nodes = edges.select("conv_id", F.col("u").alias("call_id"), spot("u_at").alias("own")).unionByName(edges.select("conv_id", F.col("v").alias("call_id"), spot("v_at").alias("own"))).distinct()
+
+    def step(state):
+        ahead = edges.select("conv_id", "u", F.col("v").alias("call_id")).join(state, ["conv_id", "call_id"]).groupBy("conv_id", F.col("u").alias("call_id")).agg(F.max(_behind("spot")).alias("behind"))
+        return state.join(ahead, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("spot", "behind").alias("spot"))
+
+    return _rounds(nodes.withColumnRenamed("own", "spot"), step, [F.sum(F.xxhash64("conv_id", "call_id", "spot").cast("decimal(38,0)"))], "places")
+
+
+def _behind(spot: str):
+    return F.struct(F.col(f"{spot}.turn").alias("turn"), F.col(f"{spot}.place").alias("place"), (F.col(f"{spot}.level") + 1).alias("level"))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """One row per call.
 
@@ -63,18 +130,36 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     owner = calls.where("conv_id is not null and call_id is not null and turn is not null").groupBy(*key).agg(F.min(F.struct("turn", "place")).alias("own"))
     answer = results.join(owner, key).where("turn > own.turn").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("answer"))
     facts = owner.join(answer, key, "left").withColumnsRenamed({"own": "o", "answer": "a"})
+    at = F.struct("turn", "place")
     needs = calls.where("conv_id is not null and turn is not null").select("conv_id", F.col("call_id").alias("by"), "turn", "place", F.explode(F.array_distinct("needs")).alias("call_id"))
-    kept = needs.join(facts, key, "left").select("conv_id", "by", "turn", "place", F.coalesce(F.col("a.turn") <= F.col("turn"), F.lit(False)).alias("kept"))
-    kept = kept.groupBy("conv_id", F.col("by").alias("call_id"), "turn", "place").agg(
-        F.sum(F.col("kept").cast("long")).alias("n_needs_kept"), F.sum((~F.col("kept")).cast("long")).alias("n_needs_cut")
+    answered = results.select(*key, "turn").join(owner, key).where("turn > own.turn").select(*key).distinct().withColumn("kept", F.lit(True))
+    needs = needs.join(owner, key, "left").join(answered, key, "left").withColumns({"at": at, "kept": F.coalesce("kept", F.lit(False)), "spot": F.lit(None).cast("struct<turn:bigint,place:bigint,level:bigint>")})
+    needs = materialise(needs, "needs")
+    later = needs.where("kept and own >= at").select("conv_id").distinct()
+    if not later.isEmpty():
+        edges = needs.where("kept").join(later, "conv_id", "left_semi").join(owner.select("conv_id", F.col("call_id").alias("by"), F.col("own").alias("by_own")), ["conv_id", "by"]).where("at = by_own")
+        edges = materialise(edges.select("conv_id", F.col("by").alias("u"), F.col("at").alias("u_at"), F.col("call_id").alias("v"), F.col("own").alias("v_at")).distinct(), "edges")
+        cuts = _cycle_cuts(edges)
+        if cuts is not None:
+            cuts = materialise(cuts.distinct(), "cuts")
+            edges = materialise(edges.join(cuts, ["conv_id", "u", "v"], "left_anti"), "edges")
+            mark = owner.select("conv_id", F.col("call_id").alias("by"), F.col("own").alias("at")).join(cuts.select("conv_id", F.col("u").alias("by"), F.col("v").alias("call_id"), F.lit(True).alias("cut")), ["conv_id", "by"])
+            needs = needs.join(mark, ["conv_id", "by", "at", "call_id"], "left").withColumn("kept", F.col("kept") & F.col("cut").isNull())
+        needs = needs.drop("spot").join(_places(edges), key, "left")
+    behind = F.when(F.col("kept"), _behind("spot"))
+    kept = needs.groupBy("conv_id", F.col("by").alias("call_id"), "turn", "place").agg(
+        F.sum(F.col("kept").cast("long")).alias("n_needs_kept"), F.sum((~F.col("kept")).cast("long")).alias("n_needs_cut"), F.max(F.when(F.col("spot").isNotNull(), behind)).alias("behind")
     )
     c, f, k = calls.alias("c"), facts.alias("f"), kept.alias("k")
     joined = c.join(f, F.expr("c.conv_id = f.conv_id and c.call_id = f.call_id"), "left")
     joined = joined.join(k, F.expr("c.conv_id = k.conv_id and c.call_id <=> k.call_id and c.turn = k.turn and c.place <=> k.place"), "left")
     first = F.expr("f.o.turn = c.turn and f.o.place <=> c.place")
     status = F.when(F.col("f.o").isNull(), "unlinked").when(~F.coalesce(first, F.lit(False)), "duplicate").when(F.col("f.a").isNull(), "pending").otherwise("linked")
+    moved = F.col("k.behind") > F.struct(F.col("c.turn").cast("long").alias("turn"), F.col("c.place").cast("long").alias("place"), F.lit(0).cast("long").alias("level"))
+    order_key = F.when(moved, F.format_string("%012d.%06d.%06d", "k.behind.turn", F.col("k.behind.place").cast("long"), "k.behind.level"))
+    order_key = F.coalesce(order_key, F.format_string("%012d.%06d", "c.turn", F.col("c.place").cast("long")))
     rows = joined.select(
-        "c.conv_id", "c.call_id", "c.turn", "c.place", "c.tool", "c.arguments", F.format_string("%012d.%06d", "c.turn", F.col("c.place").cast("long")).alias("order_key"),
+        "c.conv_id", "c.call_id", "c.turn", "c.place", "c.tool", "c.arguments", order_key.alias("order_key"),
         status.alias("status"), F.col("f.a").alias("a"), F.coalesce("k.n_needs_kept", F.lit(0)).cast("long").alias("n_needs_kept"), F.coalesce("k.n_needs_cut", F.lit(0)).cast("long").alias("n_needs_cut"),
     )
     linked = F.col("status") == "linked"

@@ -3,8 +3,9 @@
 Plain identifiers are found in the text as it stands. A text with a trigger of disguise then passes a chain of
 transducers (homoglyphs and invisible characters, at/dot disguises, spelled digits). Each transducer rewrites
 matches and carries, for every character, the source span it came from; identifiers found in the rewritten
-text are mapped back. A mapped span is added only if rewriting touched it and no plain span of its kind
-overlaps it, so texts without disguises get plain spans only.
+text are mapped back. A mapped span is added only if rewriting touched it and it does not lie within a plain
+span of its kind, so texts without disguises get plain spans only. It may overlap a plain span: of a disguised
+identifier that span often covers a part only.
 
 Defined cases: null text counts as empty; ill-formed UTF-8 is replaced by U+FFFD first; offsets are code
 points, end exclusive; a null doc_id and repeated rows are rows like others; an empty table gives an empty
@@ -200,7 +201,7 @@ def rewritten_spans(text: str, plain: list[tuple[str, int, int]], strange=True)
     for kind, a, b in plain_spans(t.text):
         if any(t.made[a:b]):
             s, e = t.start[a], t.end[b - 1]
-            if not any(k == kind and x < e and s < y for k, x, y in plain):
+            if not any(k == kind and x <= s and e <= y for k, x, y in plain):
                 out.append((kind, s, e))
     return out
 

@@ -34,3 +34,9 @@ def test_gated_and_ungated_agree():
         plain = pii.plain_spans(text)
         assert pii.disguised_spans(text, plain) == pii.rewritten_spans(text, plain), text
     assert seen > 5_000
+
+
+def test_mapped_span_beside_a_plain_part():
+    assert found("jоhn@mail.com") == [("email", "jоhn@mail.com")]  # Cyrillic о: the plain span is hn@mail.com
+    assert found("+49 30 123456 seven eight nine") == [("phone", "+49 30 123456 seven eight nine")]
+    assert found("a.b@c.de\u200b one") == []  # within the plain span

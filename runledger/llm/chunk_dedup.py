@@ -27,7 +27,7 @@ from .store import materialise, text_bytes
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
 SEGMENT = 1 << 20
-#: Digests a task remembers so as not to send a chunk again; the memory is emptied when full.
+#: Chunks a task remembers, by digest and SHA-256, so as not to send one again; the memory is emptied when full.
 REMEMBERED = 200_000
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -82,8 +82,9 @@ def _recipes(width: int):
                     chunk = text[start:end]
                     digest = xxhash.xxh3_128_digest(chunk)[:width]
                     recipe.append(digest)
-                    if digest not in sent or width < 16:
-                        sent.add(digest)
+                    known = digest + hashlib.sha256(chunk).digest()
+                    if known not in sent:
+                        sent.add(known)
                         chunks.append((digest, chunk))
                     start = end
                 rows.append((row, doc_id, hashlib.sha256(text).hexdigest(), b"".join(recipe)))

@@ -60,7 +60,7 @@ STAGES = [
     ("mix", mix_sources),
     ("tokens", round_trip),
 ]
-#: The first stage learns from data, which SQL cannot express; tests hold the stages against brute force.
+#: The first stage learns from data, which SQL cannot express; no test holds the stages against brute force yet.
 ORACLE_SQL = None
 
 

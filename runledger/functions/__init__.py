@@ -1 +1 @@
-
+"""Column expressions and scans of text."""

@@ -1 +1,6 @@
+"""Every query of the engine, by the inventory's identifiers."""
 
+from . import bound
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "bound"]

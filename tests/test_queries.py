@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from runledger.plans import bound
+from runledger import plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def rows(columns, found):
     return sorted((tuple(same(r[i]) for i in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(bound.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_matches_oracle(spark, name):
     df = entry.queries()[name](spark, SF)
     db = duckdb.connect()

@@ -59,7 +59,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(documents(spark, sf_dir), tokenizer_path())
+    coded = bpe.encode(documents(spark, sf_dir), tokenizer_path(), decoded=True)
     n = (F.length("ids") / 4).cast("long").alias("n_tokens")
     return coded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -85,20 +85,32 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
-    "op4_tool_calls": r"""
-        WITH c AS (SELECT * FROM conversations WHERE role = 'user'),
-        a AS (SELECT conv_id, turn, arg_min(text, turn) OVER (PARTITION BY conv_id, turn) AS text FROM conversations WHERE role = 'assistant')
-        SELECT c.conv_id, 'call-' || c.turn AS call_id, c.turn, 0 AS place,
-               printf('%012d.%06d', c.turn, 0) AS order_key, a.turn AS result_turn,
-               CASE WHEN a.turn IS NULL THEN 'pending' ELSE 'linked' END AS status,
-               true AS args_valid,
-               CAST(CASE WHEN c.turn >= 2 AND p.turn IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS n_needs_kept,
-               CAST(CASE WHEN c.turn >= 2 AND p.turn IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_needs_cut,
-               '{"arguments":{"text":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"call-' || c.turn
-                 || '","name":"reply","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS message
-        FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
-        LEFT JOIN (SELECT x.conv_id, x.turn FROM c x JOIN a y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1) p
-          ON p.conv_id = c.conv_id AND p.turn = c.turn - 2""",
+    "op4_tool_calls": rf"""
+        WITH c AS (SELECT conv_id, turn, text, count(*) AS n_rows FROM conversations WHERE role = 'user' GROUP BY ALL),
+        r AS (SELECT conv_id, turn, text, count(*) AS n_rows FROM conversations WHERE role <> 'user' OR role IS NULL GROUP BY ALL),
+        o AS (SELECT conv_id, turn, min(text) AS text FROM c WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+        a AS (SELECT o.*, (SELECT min(r.text) FROM r WHERE r.conv_id = o.conv_id AND r.turn = o.turn + 1) AS answer,
+                     EXISTS (SELECT 1 FROM r WHERE r.conv_id = o.conv_id AND r.turn = o.turn + 1) AS answered FROM o),
+        n AS (SELECT c.*, coalesce(a.answered, false) AND a.text IS NOT DISTINCT FROM c.text AS linked, a.answer, a.answered, a.text IS NOT DISTINCT FROM c.text AS first,
+                     CASE WHEN c.turn % 4 = 0 THEN 2 WHEN c.turn % 8 = 2 THEN -2 END AS step, coalesce(other.answered, false) AS other
+              FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn
+              LEFT JOIN a other ON other.conv_id = c.conv_id AND other.turn = c.turn + CASE WHEN c.turn % 4 = 0 THEN 2 WHEN c.turn % 8 = 2 THEN -2 END),
+        k AS (SELECT *, step IS NOT NULL AND other AND NOT (c_turn_cycle AND answered) AS kept FROM (SELECT *, turn % 8 = 0 AS c_turn_cycle FROM n))
+        SELECT 'call' AS kind, conv_id, 'call-' || turn AS call_id, turn, 0::BIGINT AS place,
+               CASE WHEN kept AND step = 2 THEN printf('%012d.%06d.%06d', turn + 2, 0, 1) ELSE printf('%012d.%06d', turn, 0) END AS order_key,
+               CASE WHEN linked THEN turn + 1 END AS result_turn,
+               CASE WHEN NOT first THEN 'duplicate' WHEN linked THEN 'linked' ELSE 'pending' END AS status,
+               coalesce(length(text) BETWEEN 1 AND {tool_calls.MOST_LETTERS} AND turn >= 0, false) AS args_valid,
+               kept::BIGINT AS n_needs_kept, (step IS NOT NULL AND NOT kept)::BIGINT AS n_needs_cut, n_rows,
+               '{{"arguments":{{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',' END || '"turn":' || turn || '}},"id":"call-' || turn
+                 || '","name":"reply","result":' || CASE WHEN linked AND answer IS NOT NULL THEN to_json(answer)::VARCHAR ELSE 'null' END || '}}' AS message
+        FROM k
+        UNION ALL
+        SELECT 'result', r.conv_id, 'call-' || (r.turn - 1), r.turn, NULL, NULL, r.turn,
+               CASE WHEN o.turn IS NULL THEN 'orphan' ELSE 'repeated' END, NULL, NULL, NULL, r.n_rows,
+               '{{"id":"call-' || (r.turn - 1) || '","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}}'
+        FROM r LEFT JOIN a o ON o.conv_id = r.conv_id AND o.turn = r.turn - 1
+        WHERE o.turn IS NULL OR r.text IS DISTINCT FROM o.answer""",
     "op10_vector_top_k": """
         WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score

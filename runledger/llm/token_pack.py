@@ -11,8 +11,12 @@ blocks | footer: docs u64, ids u64, offset of the doc_id part u64, magic.
 Shards are written by tasks under names of their own; the manifest names those of successful tasks, so a lost
 executor's half-written shards are never read. Writing goes through pyarrow's file systems (file, hdfs, s3, gs).
 
+The number of shards grows with the texts, so a task writes about SHARD_BYTES of text at every size. Rows that share
+a doc_id, or have none, may go to several shards.
+
 Defined cases: null text is an empty document and has the end id only; documents of null doc_id come last;
-rows that share a doc_id come in order of their text; an empty table gives no shards and no rows.
+rows that share a doc_id come in order of their text's hash, then text; an empty table gives no shards and no rows;
+other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Numbered, coder, ragged
-from .store import text_bytes
+from .store import text_rows, text_volume
 
 MAGIC, BLOCK_IDS, END_ID = b"RLPK", 4096, 0
-#: Words whose ids a worker remembers; emptied when full. Bytes of text encoded at once.
-REMEMBERED, PART_BYTES = 400_000, 4_000_000
+#: Words whose ids a worker remembers; emptied when full. Bytes of text encoded at once, and held by a shard.
+REMEMBERED, PART_BYTES, SHARD_BYTES = 400_000, 4_000_000, 64_000_000
 
 
 def width(vocabulary: int) -> int:
+    """Bits of the largest id of a vocabulary of ids below the number given."""
     return max(1, (vocabulary - 1).bit_length())
 
 
@@ -54,7 +60,7 @@ def unpack_bits(raw: bytes, bits: int, n: int) -> np.ndarray:
 
 
 def _open(uri: str):
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file:{uri}")
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file://{uri.removeprefix('file:')}")
 
 
 class ShardWriter:
@@ -65,7 +71,7 @@ class ShardWriter:
 
     def add(self, doc_ids, lens, ids: np.ndarray) -> None:
         self.doc_ids += doc_ids
-        self.lens += lens
+        self.lens += lens.tolist()
         ids = np.concatenate([self.left, ids])
         whole = len(ids) // BLOCK_IDS * BLOCK_IDS
         self._put(ids[:whole])
@@ -126,26 +132,26 @@ class _Memory:
         self.clear()
 
     def clear(self):
-        self.seen, self.flat, self.lens, self.starts = Numbered(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.seen, self.flat, self.lens, self.starts = Numbered(), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids, END_ID after each text."""
         if len(self.seen) > REMEMBERED:
             self.clear()
-        known = len(self.seen)
-        end = self.seen[None]
-        idx = [self.seen.of(self.coder.words(t)) for t in texts]
-        new = list(self.seen)[known:]
-        if new:
-            found = [[END_ID] if w is None else None for w in new]
-            coded = iter(self.coder.encode([w for w in new if w is not None]))
-            found = [f or next(coded) for f in found]
-            lens = np.fromiter(map(len, found), np.int64, len(found))
+        if not self.seen:
+            self.seen.of([None])  # the end
+            self.flat, self.lens, self.starts = np.array([END_ID], np.int32), np.ones(1, np.int64), np.zeros(1, np.int64)
+        known, idx = len(self.seen), []
+        for t in texts:
+            words = self.coder.words(t)
+            words.append(None)
+            idx.append(self.seen.of(words))
+        if len(self.seen) > known:
+            lens, flat = self.coder.encode(list(islice(self.seen, known, None)))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.int64, int(lens.sum()))])
-        with_end = [np.append(x, end) for x in idx]
-        return [int(self.lens[x].sum()) for x in with_end], ragged(self.flat, self.starts, self.lens, np.concatenate(with_end))
+            self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
+        counts, idx = np.fromiter(map(len, idx), np.int64, len(idx)), np.concatenate(idx)
+        return np.add.reduceat(self.lens[idx], np.cumsum(counts) - counts), ragged(self.flat, self.starts, self.lens, idx)
 
 
 _memories: dict[str, _Memory] = {}
@@ -186,10 +192,12 @@ def _part() -> int:
 
 def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[dict]:
     """Encode docs into shards below folder, in ascending order of doc_id. Returns the manifest, one entry per shard."""
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
-    order = F.col("doc_id").asc_nulls_last()
-    rows = rows.repartitionByRange(shards, order).sortWithinPartitions(order, "t")
+    if shards is None:
+        volume, slots = text_volume(docs, text_col), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shards = max(1, -(-volume // SHARD_BYTES), min(slots, -(-volume // PART_BYTES)))
+    rows = text_rows(docs, id_col, text_col, F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("t")]
+    rows = rows.repartitionByRange(shards, *order, "row").sortWithinPartitions(*order, "t").select("doc_id", "t")
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
     made = sorted(rows.mapInArrow(_writer(tokenizer, folder), "name string, part int, docs long, ids long").collect(), key=lambda r: r["part"])

@@ -1,11 +1,12 @@
 """Personal data in plain and in disguised form, with offsets into the source text.
 
-Plain identifiers are found in the text as it stands. A text with a trigger of disguise then passes a chain of
-transducers (homoglyphs and invisible characters, at/dot disguises, spelled digits). Each transducer rewrites
-matches and carries, for every character, the source span it came from; identifiers found in the rewritten
-text are mapped back. A mapped span is added only if rewriting touched it and it does not lie within a plain
-span of its kind, so texts without disguises get plain spans only. It may overlap a plain span: of a disguised
-identifier that span often covers a part only.
+Plain identifiers are found in the text as it stands. The text then passes a chain of transducers: homoglyphs and
+invisible characters, bracketed at and dot, runs of numerals, spoken at and dot. Each rewrites what it finds and
+carries, for every character, the source span it came from; identifiers found in the rewritten text are mapped
+back. A mapped span is added only if rewriting touched it and it does not lie within a plain span of its kind, so
+texts without disguises get plain spans only. It may overlap a plain span: of a disguised identifier that span
+often covers a part only. Every transducer reads a text once, whatever it holds: runs are matched whole, without
+going back, and an address is looked for around each at only.
 
 Defined cases: null text counts as empty; ill-formed UTF-8 is replaced by U+FFFD first; offsets are code
 points, end exclusive; a null doc_id and repeated rows are rows like others; an empty table gives an empty
@@ -16,12 +17,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .store import text_bytes
+from .store import text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -88,52 +90,48 @@ _SPACES = "    "
 _STRANGE = re.compile(f"[{''.join(map(re.escape, _LOOKS))}{_INVISIBLE}{_SPACES}٠-٩۰-۹०-९①-⓿！-～\U0001d400-\U0001d7ff]")
 
 _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_NUMERAL = rf"(?:{'|'.join(_DIGITS)}|[0-9])"
-_GAP = r"[\x20\t]?[-,.]?[\x20\t]?"
-_WRITTEN = rf"\b(?:{'|'.join(_DIGITS)})\b"
-_BETWEEN = rf"(?:{_GAP}\b|\x20\(?|\)\x20?)"
-_SPELLED = re.compile(rf"(?:\bplus[\x20-]+|\+\x20?)?\b{_NUMERAL}(?:{_BETWEEN}{_NUMERAL}\b)+", re.I)
-_SPOKEN_DOT = re.compile(rf"(?<=[0-9])\x20+(?:dot|point)\x20+(?=[0-9])", re.I)
-_WORD = re.compile(_WRITTEN, re.I)
+_WRITTEN = "|".join(_DIGITS)
+_WORDS = re.compile(rf"\b(?:{_WRITTEN})\b", re.I)
+_DOTS = "dot|punto|punkt|point"
 _OPEN, _SHUT = r"\x20?[\[({<]\x20?", r"\x20?[\])}>]\x20?"
-_MARKED_AT = re.compile(rf"{_OPEN}(?:at|@|arroba|ät){_SHUT}", re.I)
-_MARKED_DOT = re.compile(rf"{_OPEN}(?:dot|\.|punto|point|punkt){_SHUT}", re.I)
-_NAME = r"[A-Za-z0-9_%+-]+"
-_SPOKEN = re.compile(rf"{_NAME}(?:(?:\.|\x20dot\x20){_NAME})*(?:\x20at\x20|@){_NAME}(?:(?:\.|\x20dot\x20){_NAME})+", re.I)
-# What _MARKED_AT, _MARKED_DOT, _SPOKEN, _SPOKEN_DOT, _SPELLED_IP and _SPELLED can change holds one of these: a mark in
-# brackets, the word dot, point between numerals, or a written digit beside another numeral with what _SPELLED allows
-# between them (the hyphen, space or full stop of _SPELLED_IP is among that). All start from the text as it stands.
-_TRIGGER = re.compile(
-    rf"{_OPEN}(?:at|@|arroba|ät|dot|\.|punto|point|punkt){_SHUT}|\bdot\b|{_NUMERAL}\x20*\bpoint\b\x20*{_NUMERAL}"
-    rf"|{_WRITTEN}{_BETWEEN}{_NUMERAL}\b|\b[0-9]{_BETWEEN}{_WRITTEN}",
-    re.I,
-)
-_TRIGGERS = re.compile(r"dot|punto|point|punkt|[\[({<]|zero|one|two|three|four|five|six|seven|eight|nine|oh", re.I)
+_MARKED = re.compile(rf"{_OPEN}(?:(?P<at>at|@|arroba|ät)|dot|\.|punto|point|punkt){_SHUT}", re.I)
+# Numerals and what may stand between two of them; a run is matched whole.
+_NUMERAL = rf"(?:{_WRITTEN}|[0-9]++)"
+_BETWEEN = rf"(?:\x20++(?:dot|point)\x20++|[\x20\t]?[-,.][\x20\t]?|[\x20\t]|\x20?[()]\x20?)"
+_RUN = re.compile(rf"(?:\bplus[\x20-]|\+\x20?)?\b{_NUMERAL}\b(?:{_BETWEEN}{_NUMERAL}\b)++", re.I)
+_NUMERALS = re.compile(_NUMERAL, re.I)
+_SPOKEN_DOT = re.compile(r"\x20(?:dot|point)\x20", re.I)
+_AT = re.compile(r"\x20at\x20|@", re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|\x20(?:{_DOTS})\x20)[A-Za-z0-9-]++)++", re.I)
+_ANY_DOT = re.compile(rf"\.|\x20(?:{_DOTS})\x20", re.I)
+_LAST_DOT = tuple(f" {d} " for d in _DOTS.split("|"))
 
 
 class Traced:
     """A text with the source span of each of its characters, and whether rewriting made it."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end, self.made = text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
+        self.text, self.made = text, np.zeros(len(text), bool)
+        self.start = np.arange(len(text))
+        self.end = self.start + 1
 
-    def rewrite(self, pattern: re.Pattern, to) -> None:
+    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
+        """Replace text[a:b] by new for each (a, b, new), in order and apart from one another."""
         parts, start, end, made, at = [], [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if new == m[0]:
-                continue
-            a, b = m.span()
+        for a, b, new in edits:
             parts += [self.text[at:a], new]
-            start += self.start[at:a] + [self.start[a]] * len(new)
-            end += self.end[at:a] + [self.end[b - 1]] * len(new)
-            made += self.made[at:a] + [True] * len(new)
+            n = len(new)
+            start += [self.start[at:a], np.full(n, self.start[a])]
+            end += [self.end[at:a], np.full(n, self.end[b - 1])]
+            touched = self.made[at:a]
+            if not n and a > at:  # a span that crosses the gap counts as touched
+                touched = touched.copy()
+                touched[-1] = True
+            made += [touched, np.ones(n, bool)]
             at = b
-            if not new and end:  # a span that crosses the gap counts as touched
-                made[-1] = True
-        if at:
-            self.text = "".join(parts) + self.text[at:]
-            self.start, self.end, self.made = start + self.start[at:], end + self.end[at:], made + self.made[at:]
+        if edits:
+            self.text = "".join([*parts, self.text[at:]])
+            self.start, self.end, self.made = (np.concatenate([*x, y[at:]]) for x, y in ((start, self.start), (end, self.end), (made, self.made)))
 
 
 def _look(m: re.Match) -> str:
@@ -150,58 +148,109 @@ def _look(m: re.Match) -> str:
     return str(unicodedata.digit(c)) if unicodedata.digit(c, None) is not None else c
 
 
-def _numerals(m: re.Match) -> str:
-    """A run with three written digits or more becomes its digits; a run of figures alone stays."""
-    if len(_WORD.findall(m[0])) < 3:
-        return m[0]
-    digits = re.findall(_NUMERAL, m[0], re.I)
-    plus = m[0][0] in "+pP"
-    return "+" * plus + "".join(_DIGITS.get(d.lower(), d) for d in digits)
+def _strange(t: Traced):
+    return [(*m.span(), new) for m in _STRANGE.finditer(t.text) if (new := _look(m)) != m[0]]
 
 
-def _short_run(m: re.Match) -> str:
-    return "".join(_DIGITS.get(d.lower(), d) for d in re.findall(_NUMERAL, m[0], re.I))
+def _marked(t: Traced):
+    return [(*m.span(), "@" if m["at"] else ".") for m in _MARKED.finditer(t.text)]
 
 
-#: An address of spelled numbers: groups of numerals around dots.
-_SPELLED_IP = re.compile(rf"\b{_NUMERAL}(?:[\x20-]{_NUMERAL})*(?:\x20?(?:\bdot\b|\bpoint\b|\.)\x20?{_NUMERAL}(?:[\x20-]{_NUMERAL})*){{3}}\b", re.I)
+def _digits(numerals: list[str]) -> str:
+    return "".join(_DIGITS.get(n.lower(), n) for n in numerals)
 
 
-def _spelled_ip(m: re.Match) -> str:
-    if not _WORD.search(m[0]) and not re.search("dot|point", m[0], re.I):
-        return m[0]
-    return ".".join("".join(_DIGITS.get(d.lower(), d) for d in re.findall(_NUMERAL, part, re.I)) for part in re.split(r"dot|point|\.", m[0], flags=re.I))
+def _runs(t: Traced):
+    """Runs of numerals: groups around dots become an address, three written digits or more a number."""
+    out = []
+    for m in _RUN.finditer(t.text):
+        run, a = m[0], m.start()
+        written, spoken = _WORDS.findall(run), _SPOKEN_DOT.search(run)
+        if not written and not spoken:
+            continue
+        numbers = list(_NUMERALS.finditer(run))
+        # Groups of numerals with single spaces or hyphens inside; whether a dot, spoken or not, leads to the next one.
+        groups, dotted = [[numbers[0]]], []
+        for x, y in zip(numbers, numbers[1:], strict=False):
+            gap = run[x.end() : y.start()]
+            if gap in (" ", "-"):
+                groups[-1].append(y)
+            else:
+                dotted.append(gap.strip().lower() in (".", "dot", "point"))
+                groups.append([y])
+        values = [_digits([n[0] for n in g]) for g in groups]
+        i, found = 0, []
+        while i + 4 <= len(groups):
+            if all(dotted[i : i + 3]) and all(map(_octet, values[i : i + 4])):
+                found.append((a + groups[i][0].start(), a + groups[i + 3][-1].end(), ".".join(values[i : i + 4])))
+                i += 4
+            else:
+                i += 1
+        if found:
+            out += [e for e in found if t.text[e[0] : e[1]] != e[2]]
+        elif len(written) >= 3:
+            out.append((*m.span(), "+" * (run[0] in "+pP") + _digits([n[0] for n in numbers])))
+    return out
 
 
-def _spoken(m: re.Match) -> str:
-    """name at host dot tld; a plain "at" counts only beside a spoken dot or a rewritten character."""
-    if not re.search(r"\x20dot\x20", m[0], re.I):
-        return m[0]
-    return re.sub(r"\x20at\x20", "@", re.sub(r"\x20dot\x20", ".", m[0], flags=re.I), flags=re.I)
+def _spoken(t: Traced):
+    """name at host dot tld: an at counts only beside a dot that is spoken or was rewritten."""
+    out, text, done = [], t.text, 0
+    for at in _AT.finditer(text):
+        a, b = at.span()
+        host = _HOST.match(text, b) if a >= done else None
+        if not host:
+            continue
+        dots = [d.span() for d in _ANY_DOT.finditer(text, b, host.end())]
+        if not any(t.made[x:y].any() or y - x > 1 for x, y in dots) and not (at[0] != "@" and t.made[b : host.end()].any()):
+            continue
+        start, pieces = a, []
+        while start > done:
+            if text[start - 1] in _LOCAL:
+                start -= 1
+            elif (gap := next((g for g in _LAST_DOT if text[max(done, start - len(g)) : start].lower() == g), None)) and start - len(gap) > done and text[start - len(gap) - 1] in _LOCAL:
+                pieces.append((start - len(gap), start, "."))
+                start -= len(gap)
+            else:
+                break
+        if start == a:
+            continue
+        pieces = pieces[::-1] + [(a, b, "@")] * (at[0] != "@") + [(x, y, ".") for x, y in dots if y - x > 1]
+        out += pieces
+        done = host.end()
+    return out
+
+
+def _may_hold(text: str) -> bool:
+    """Whether a transducer could change the text: a superset, by plain searches."""
+    if not text.isascii() and _STRANGE.search(text):
+        return True
+    low = text.lower()
+    if any(c in low for c in "[({<") and _MARKED.search(text):
+        return True
+    if any(f" {d} " in low for d in _DOTS.split("|")):
+        return True
+    return any(w in low for w in _DIGITS) and _WORDS.search(text) is not None
 
 
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    strange = not text.isascii() and _STRANGE.search(text)
-    if not strange and not (_TRIGGERS.search(text) and _TRIGGER.search(text)):
-        return []  # the chain would change nothing
-    return rewritten_spans(text, plain, strange)
+    return rewritten_spans(text, plain) if _may_hold(text) else []
 
 
-def rewritten_spans(text: str, plain: list[tuple[str, int, int]], strange=True) -> list[tuple[str, int, int]]:
+def rewritten_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     t = Traced(text)
-    if strange:
-        t.rewrite(_STRANGE, _look)
-    t.rewrite(_MARKED_AT, lambda m: "@")
-    t.rewrite(_MARKED_DOT, lambda m: ".")
-    t.rewrite(_SPELLED_IP, _spelled_ip)
-    t.rewrite(_SPELLED, _numerals)
-    t.rewrite(_SPOKEN_DOT, lambda m: ".")
-    t.rewrite(_SPOKEN, _spoken)
-    out = []
+    for edits in (_strange, _marked, _runs, _spoken):
+        t.rewrite(edits(t))
+    if not t.made.any():
+        return []
+    out, touched = [], np.concatenate([[0], np.cumsum(t.made)])
+    spans = {k: [(x, y) for kind, x, y in plain if kind == k] for k in KINDS}
     for kind, a, b in plain_spans(t.text):
-        if any(t.made[a:b]):
-            s, e = t.start[a], t.end[b - 1]
-            if not any(k == kind and x <= s and e <= y for k, x, y in plain):
+        if touched[b] > touched[a]:
+            s, e = int(t.start[a]), int(t.end[b - 1])
+            near = spans[kind]
+            i = bisect_right(near, (s, len(text) + 1)) - 1  # plain spans of a kind are apart and in order
+            if i < 0 or near[i][1] < e:
                 out.append((kind, s, e))
     return out
 
@@ -223,5 +272,4 @@ def _scan(batches):
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and spans (kind, start, end, base: found in the text as it stands), by kind and start."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
-    return rows.mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+    return text_rows(docs, id_col, text_col).mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>")

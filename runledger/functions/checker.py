@@ -6,6 +6,8 @@ only quotes a verdict is not taken for one. What is not recognised is an error,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +21,15 @@ LINE_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 _BLANK = r"[\s\u000b\u001c-\u001f\u0085   -     　]"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once a row: a lambda that named the expression itself would compute it once an element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Lines without their breaks; a break at the end opens no further line."""
-    split = F.split(text, LINE_BREAK)
-    return F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
+    cut = lambda split: F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
+    return let(F.split(text, LINE_BREAK), cut)
 
 
 def strip(text: Column) -> Column:
@@ -42,12 +49,13 @@ def has_banner(text: Column, banner: str) -> Column:
 
 def trace_text(text: Column) -> Column:
     """The trace before the last line that is the banner of failure: from its first marker, or whole if it has none."""
-    every = lines(text)
-    marks = F.transform(every, lambda line, i: F.when(strip(line) == FAILED, i))
-    last = F.array_max(marks)
-    body = F.array_join(F.when(last.isNull(), every).otherwise(F.slice(every, F.lit(1), F.coalesce(last, F.lit(0)))), "\n")
-    start = F.instr(body, TRACE_START)
-    return strip(F.when(start > 0, F.substring(body, start, F.length(body))).otherwise(body))
+
+    def before_banner(every):
+        last = F.array_max(F.transform(every, lambda line, i: F.when(strip(line) == FAILED, i)))
+        return F.array_join(F.when(last.isNull(), every).otherwise(F.slice(every, F.lit(1), F.coalesce(last, F.lit(0)))), "\n")
+
+    body = let(lines(text), before_banner)
+    return strip(let(body, lambda b: F.when(F.instr(b, TRACE_START) > 0, F.substring(b, F.instr(b, TRACE_START), F.length(b))).otherwise(b)))
 
 
 def error_line(text: Column, default: str) -> Column:

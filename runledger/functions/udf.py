@@ -3,52 +3,52 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from ..schemas import SIGNATURE_PARAM, HarnessError
 from . import ctext
+from .arrow import batched
 
 
 def _each(function, *columns):
     return pd.Series([None if any(v is None for v in row) else function(*row) for row in zip(*columns, strict=True)], dtype="object")
 
 
-@F.pandas_udf("string")
+@batched("string")
 def mask_comments(text: pd.Series) -> pd.Series:
     return _each(ctext.mask_comments, text)
 
 
-@F.pandas_udf("string")
+@batched("string")
 def mask_literals(text: pd.Series) -> pd.Series:
     return _each(ctext.mask_literals, text)
 
 
-@F.pandas_udf("string")
+@batched("string")
 def peel(text: pd.Series) -> pd.Series:
     return _each(ctext.peel, text)
 
 
-@F.pandas_udf("string")
+@batched("string")
 def strip_subscripts(text: pd.Series, names: pd.Series) -> pd.Series:
     return _each(lambda t, n: ctext.strip_subscripts(t, list(n)), text, names)
 
 
-@F.pandas_udf("array<string>")
+@batched("array<string>")
 def split_top_level(text: pd.Series) -> pd.Series:
     return _each(ctext.split_top_level, text)
 
 
-@F.pandas_udf("string")
+@batched("string")
 def rename_function(text: pd.Series, name: pd.Series, new: pd.Series) -> pd.Series:
     return _each(ctext.rename_function, text, name, new)
 
 
-@F.pandas_udf("array<struct<physical:int,number:int>>")
+@batched("array<struct<physical:int,number:int>>")
 def line_breakpoints(text: pd.Series) -> pd.Series:
     return _each(lambda t: [{"physical": a, "number": b} for a, b in ctext.line_breakpoints(ctext.masked(t))], text)
 
 
-@F.pandas_udf("array<struct<physical:int,open:int,close:int,brace:int>>")
+@batched("array<struct<physical:int,open:int,close:int,brace:int>>")
 def definitions(text: pd.Series, name: pd.Series) -> pd.Series:
     def of(t, n):
         clean = ctext.masked(t)
@@ -57,7 +57,7 @@ def definitions(text: pd.Series, name: pd.Series) -> pd.Series:
     return _each(of, text, name)
 
 
-@F.pandas_udf("struct<extent:int,unresolved:boolean,static_min:boolean>")
+@batched("struct<extent:int,unresolved:boolean,static_min:boolean>")
 def array_shape(parameters: pd.Series, name: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([ctext.array_shape(p, n) for p, n in zip(parameters, name, strict=True)], columns=["extent", "unresolved", "static_min"]).astype({"extent": "Int32"})
 
@@ -65,7 +65,7 @@ def array_shape(parameters: pd.Series, name: pd.Series) -> pd.DataFrame:
 _SIGNATURE = f"struct<return_ctype:string,params:array<{SIGNATURE_PARAM}>,error:string>"
 
 
-@F.pandas_udf(_SIGNATURE)
+@batched(_SIGNATURE)
 def signature(source: pd.Series, symbol: pd.Series) -> pd.DataFrame:
     """A function's signature, or why there is none."""
     rows = []
@@ -78,7 +78,7 @@ def signature(source: pd.Series, symbol: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["return_ctype", "params", "error"])
 
 
-@F.pandas_udf("string")
+@batched("string")
 def inject(text: pd.Series, name: pd.Series, def_line: pd.Series, checks: pd.Series) -> pd.Series:
     """The text with checks behind the definition's opening brace; null where no definition can be told."""
 

@@ -40,14 +40,15 @@ def _assignment(body: Column) -> Column:
 
 def parse(raw: Column) -> Column:
     """F11, J7, N15. A counterexample (see schemas.COUNTEREXAMPLE) or null: for several traces in one text, for none, and for a property without place."""
-    every = checker.lines(raw)
     plain = lambda x: checker.strip(x)
     is_state = lambda x: plain(x).rlike(STATE)
     opens = lambda x: is_state(x) | x.startswith(VIOLATED)
-    # Each line with its place; blocks run from an opening line to the line before the next.
-    starts = F.filter(F.transform(every, lambda x, i: F.when(opens(x), i + 1)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(F.size(every) + 1))
-    blocks = F.zip_with(starts, ends, lambda a, b: F.slice(every, a, b - a))
+
+    def blocks_of(every):
+        """Blocks run from an opening line to the line before the next."""
+        starts = F.filter(F.transform(every, lambda x, i: F.when(opens(x), i + 1)), lambda i: i.isNotNull())
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), F.array(F.size(every) + 1))
+        return checker.let(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: F.slice(every, a, b - a)))
 
     def step(block):
         head = plain(F.get(block, F.lit(0)))
@@ -70,10 +71,13 @@ def parse(raw: Column) -> Column:
         )
         return F.when(F.coalesce(place.rlike(PLACE), F.lit(False)), prop)
 
-    steps = F.transform(F.filter(blocks, lambda b: is_state(F.get(b, F.lit(0)))), step)
-    prop = violated(F.try_element_at(F.filter(blocks, lambda b: F.get(b, F.lit(0)).startswith(VIOLATED)), F.lit(-1)))
-    whole = F.struct(steps.alias("steps"), prop.alias("violated_property"))
-    return F.when((checker.traces_in(raw) <= 1) & prop.isNotNull(), whole)
+    def whole(blocks):
+        steps = F.transform(F.filter(blocks, lambda b: is_state(F.get(b, F.lit(0)))), step)
+        last = F.try_element_at(F.filter(blocks, lambda b: F.get(b, F.lit(0)).startswith(VIOLATED)), F.lit(-1))
+        return F.struct(steps.alias("steps"), checker.let(last, violated).alias("violated_property"))
+
+    found = checker.let(checker.let(checker.lines(raw), blocks_of), whole)
+    return checker.let(found, lambda c: F.when((checker.traces_in(raw) <= 1) & c["violated_property"].isNotNull(), c))
 
 
 def parsed(runs: DataFrame, raw: str = "raw_counterexample", name: str = "counterexample") -> DataFrame:

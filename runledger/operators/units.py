@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clang, ctext
+from ..functions.arrow import batched
 from ..schemas import PARAM, UnitsUnavailable
 
 NODES = "tu string, ord int, depth int, kind string, rest string, parent int, child_index int, fn int, site string, is_callee boolean, last int"
@@ -114,7 +115,7 @@ def takes_pointer(params: Column) -> Column:
     return F.exists(params, lambda p: is_pointer(p["type"]))
 
 
-@F.pandas_udf(f"array<{PARAM}>")
+@batched(f"array<{PARAM}>")
 def _with_extents(params: pd.Series, source: pd.Series, name: pd.Series, def_line: pd.Series) -> pd.Series:
     out = []
     for ps, text, fn, line in zip(params, source, name, def_line, strict=True):

@@ -34,7 +34,8 @@ class Relation:
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in self.sql}
-        return spark.sql(self.sql.format(**{w: s for w, (s, _) in WORDS.items()}, **{t: f"{{{t}}}" for t in TABLES}), **used)
+        text = self.sql.format(**{w: s for w, (s, _) in WORDS.items()}, **{t: f"\0{t}\1" for t in TABLES})
+        return spark.sql(text.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}"), **used)
 
     @property
     def duck(self) -> str:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise, text_bytes
+from .store import drop, materialise, text_rows
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
 SEGMENT = 1 << 20
@@ -70,6 +70,7 @@ _RECIPES = "row_id long, doc_id long, text_sha256 string, recipe binary, digest
 
 
 def _recipes(width: int):
+    """Batches of doc_id, text and, if wanted, a row's key, which follows the other columns."""
     schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.binary()), ("digest", pa.binary()), ("chunk", pa.binary())])
 
     def run(batches):
@@ -94,25 +95,38 @@ def _recipes(width: int):
             n, m = len(rows), len(chunks)
             if n:
                 a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), pa.array(d, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
+                own = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), pa.array(d, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *batch.columns[2:]], names=[*schema.names, *batch.schema.names[2:]])
             if m:
                 e, f = zip(*chunks, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(e, pa.binary()), pa.array(f, pa.binary())], schema=schema)
+                own = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array(e, pa.binary()), pa.array(f, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(m, x.type) for x in batch.columns[2:]]], names=[*schema.names, *batch.schema.names[2:]])
 
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_width: int = 16) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. digest_width: bytes of a chunk's digest."""
-    found = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(_recipes(digest_width), _RECIPES), "recipes")
-    rows = found.filter("row_id is not null").select("row_id", "doc_id", "text_sha256", F.concat(F.lit(b"\x00"), "recipe").alias("key"))
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_width: int = 16, key_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and key_col (two longs, see store.with_row_key) if named.
+
+    digest_width: bytes of a chunk's digest.
+    """
+    own = [F.col(key_col).alias("row_key")] if key_col else []
+    schema = _RECIPES + ", row_key struct<file:bigint,row:bigint>" * len(own)
+    key = ["row_key"] * len(own)
+    found = materialise(text_rows(docs, id_col, text_col, *own).mapInArrow(_recipes(digest_width), schema), "recipes")
+    rows = found.filter("row_id is not null").select("row_id", "doc_id", "text_sha256", F.concat(F.lit(b"\x00"), "recipe").alias("key"), *key)
     # All byte strings under a digest meet in one task; only distinct ones are left there.
     distinct = found.filter("digest is not null").select("digest", "chunk").repartition("digest").groupBy("digest", "chunk").agg(F.lit(1).alias("one"))
     unverified = materialise(distinct.groupBy("digest").count().filter("count > 1").select("digest"), "unverified")
     if not unverified.isEmpty():
         parts = F.expr(f"explode(transform(sequence(0, length(key) div {digest_width} - 1), i -> substring(key, 2 + i * {digest_width}, {digest_width})))")
         doubtful = rows.filter("length(key) > 1").select("row_id", parts.alias("digest")).join(unverified, "digest", "left_semi").select("row_id").distinct()
-        rows = materialise(rows.join(doubtful.withColumn("doubt", F.lit(True)), "row_id", "left").select("row_id", "doc_id", "text_sha256", F.when(F.col("doubt"), F.concat(F.lit(b"\x01"), F.col("text_sha256").cast("binary"))).otherwise(F.col("key")).alias("key")), "compared")
+        compared = F.when(F.col("doubt"), F.concat(F.lit(b"\x01"), F.col("text_sha256").cast("binary"))).otherwise(F.col("key")).alias("key")
+        rows = materialise(rows.join(doubtful.withColumn("doubt", F.lit(True)), "row_id", "left").select("row_id", "doc_id", "text_sha256", compared, *key), "compared")
+    else:
+        rows = materialise(rows, "compared")
+    drop(found, unverified)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first")
     groups = materialise(rows.groupBy("key").agg(first, F.count(F.lit(1)).alias("group_size")), "groups")
-    return rows.join(groups, "key").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"), "text_sha256")
+    named = [F.col(k).alias(key_col) for k in key]
+    return rows.join(groups, "key").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"), "text_sha256", *named)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import drop, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialise(_star(_star(edges, True), False), "edges")
+        drop(before)
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("grp")).unionByName(edges.select(F.col("b").alias("rep"), F.col("b").alias("grp")).distinct())

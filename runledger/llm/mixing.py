@@ -49,10 +49,11 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST_EPOCH
     return ranked.withColumn("target", F.least(F.col("weight") * F.lit(level or 0.0), cap).cast("double"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: float = MOST_EPOCHS, seed: int = SEED, key_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), and key_col if named."""
+    own = [F.col(key_col).alias("row_key")] if key_col else []
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
-    sized = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), key.alias("key")), "sized")
+    sized = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), key.alias("key"), *own), "sized")
     sources = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     targets = source_targets(sources.drop("n"), weights, most)
     largest = sources.agg(F.max("n")).first()[0] or 0
@@ -71,4 +72,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("slice_before") - F.col("inside"), F.lit(0)), F.col("size"))
-    return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    named = [F.col("row_key").alias(key_col)] if key_col else []
+    return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *named)

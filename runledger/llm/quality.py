@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from .store import text_bytes
+from .store import free_name, small_batches, text_bytes
 
 #: Rows of each class that are learned from, at most.
 TRAIN_ROWS = 2500
@@ -134,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = n1 / n if n else 1.0
     if prior in (0.0, 1.0):
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
+    small_batches(docs.sparkSession)
     sample = known.where("label = 0").orderBy("order", id_col).limit(rows).unionByName(known.where("label = 1").orderBy("order", id_col).limit(rows))
     texts = docs.select(F.col(id_col), text_bytes(text_col).alias("t")).join(F.broadcast(sample.select(id_col, "label")), id_col)  # 2 * rows narrow rows
     bags = texts.select("label", "t").mapInArrow(_bags, "label int, bucket binary, weight binary").collect()
@@ -147,7 +149,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _scores(table: bytes, bias: float):
+def _scores(table: bytes, bias: float, name: str = "quality_score"):
     part_of = np.frombuffer(zlib.decompress(table), np.float64)
 
     def run(batches):
@@ -159,14 +161,14 @@ def _scores(table: bytes, bias: float):
                     total += float(part_of[part].sum())
                     n += len(part)
                 out.append(1.0 / (1.0 + np.exp(-np.clip(bias + total / max(1, n), -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*batch.schema.names[1:], "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*batch.schema.names[1:], name])
 
     return run
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """docs with their columns and quality_score (probability of class 1) at the end."""
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("quality_score", DoubleType())
-    return docs.select(text_bytes(text_col).alias("__text"), "*").mapInArrow(_scores(zlib.compress(model[0].tobytes()), model[1]), schema)
+    """docs with their columns and, at the end, the probability of class 1: quality_score, or a free name that begins so."""
+    small_batches(docs.sparkSession)
+    out = free_name(docs.columns, "quality_score")
+    schema = StructType([*docs.schema.fields]).add(out, DoubleType())
+    return docs.select(text_bytes(text_col).alias(free_name(docs.columns, "text_bytes")), "*").mapInArrow(_scores(zlib.compress(model[0].tobytes()), model[1], out), schema)

@@ -5,7 +5,8 @@
    similarity 0.75 or more share a token among the first n - ceil(3n/4) + 1 of each, so only those prefixes are
    indexed, and tokens of one class alone are dropped. The sample changes speed, never results.
 3. Grouping: each class is compared with one class that shares many prefix tokens, if possible the one with the
-   fewest rare tokens of its own, and linked classes form the groups. A cluster of thousands of near copies costs one comparison a member, not one a pair.
+   fewest rare tokens of its own, and linked classes form the groups. A cluster of thousands of near copies costs
+   one comparison a member, not one a pair.
 4. Token-group matrix: for tokens that cross groups, each group's union of its members' index tokens is stored with
    the range of their sizes. The overlap of a larger class with a group of smaller ones is bounded from the tokens
    they share; groups whose bound is too low stay shut.
@@ -14,6 +15,9 @@
 
 Step 5 ends with every pair of different groups that could be linked compared, so no link is lost.
 
+Sets are kept and compared as 63-bit hashes of their shingles; two shingles of one hash count as one, which a
+document of a million shingles meets with a chance below 1e-7.
+
 Defined cases: null, empty and blank texts have an empty set and link with nothing; rows of equal sets share a
 component whatever their doc_id; a null doc_id has the smallest doc_id of its component, null if there is none;
 an empty table gives an empty result; other columns are never read.
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialise, narrow_side, text_bytes
+from .store import drop, materialise, narrow_side, text_rows
 
 SHINGLE = 5
 #: One document in SAMPLE tells which tokens are frequent: those seen SEEN times there, the HOT_TOKENS most frequent at most.
@@ -70,6 +74,7 @@ def _tokens(batches):
 
 
 def _rows(hot: bytes):
+    """Batches of doc_id, text and, if wanted, a row's key, which follows the other columns."""
     schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))])
     often = np.frombuffer(hot, np.int64)
 
@@ -88,7 +93,8 @@ def _rows(hot: bytes):
                 out.append((row, doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), ranked))
                 row += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                own = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *batch.columns[2:]], names=[*schema.names, *batch.schema.names[2:]])
 
     return run
 
@@ -135,16 +141,19 @@ def _sizes_fit(a, b):
     return (4 * a >= 3 * b) & (4 * b >= 3 * a)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept (one row of each component: that of smallest doc_id,
+    null last), and key_col (two longs, see store.with_row_key) if named."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
+    own_key = [F.col(key_col).alias("row_key")] if key_col else []
+    key, key_type = ["row_key"] * len(own_key), ", row_key struct<file:bigint,row:bigint>" * len(own_key)
+    texts = text_rows(docs, id_col, text_col, *own_key)
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("t").mapInArrow(_tokens, "token long")
     often = sample.groupBy("token").count().where(F.col("count") >= SEEN).orderBy(F.col("count").desc(), "token").limit(HOT_TOKENS)
     hot = np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64)).tobytes()
-    rows = materialise(texts.mapInArrow(_rows(hot), "row_id long, doc_id long, n long, sig binary, prefix array<long>"), "rows")
+    rows = materialise(texts.mapInArrow(_rows(hot), "row_id long, doc_id long, n long, sig binary, prefix array<long>" + key_type), "rows")
 
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("row_id", "doc_id")).alias("r"), F.min("doc_id").alias("least"))
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("row_id", "doc_id")).alias("r"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("least"))
     classes = materialise(classes.select("sig", F.col("r.row_id").alias("rep"), F.col("r.doc_id").alias("rep_doc"), "least"), "classes")
     own = rows.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
     index = own.select("n", F.col("row_id").alias("rep"), F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token")).withColumns({"left": F.col("n") - F.col("at"), "near_n": F.floor(F.log("n") / np.log(NEAR_SIZE)).cast("int")})
@@ -163,12 +172,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = shared.select("rep").distinct().join(classes, "rep").select("rep", "sig", "rep_doc")
     wanted = materialise(wanted, "wanted")
     ids = narrow_side(materialise(wanted.select("rep_doc").distinct(), "wanted-ids"))
-    blobs = texts.join(ids, texts.doc_id.eqNullSafe(ids.rep_doc), "left_semi").mapInArrow(_packed, "sig binary, blob binary")
+    blobs = texts.select("doc_id", "t").join(ids, F.col("doc_id").eqNullSafe(F.col("rep_doc")), "left_semi").mapInArrow(_packed, "sig binary, blob binary")
     blobs = materialise(blobs.join(narrow_side(wanted.select("rep", "sig")), "sig").dropDuplicates(["rep"]).select("rep", "blob"), "texts", "uncompressed")
     links = materialise(_verified(pairs, blobs), "links-0")
     groups = components(links)
 
+    drop(pairs)
     for wave in (1, 2):
+        met_tables = []
         placed = shared.select("token", "rep", "n", "left").join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
         crossing = placed.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
         cross = materialise(placed.join(crossing, "token"), f"cross-{wave}")
@@ -196,21 +207,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             fit = (F.col("grp") != F.col("g")) & (F.col("m") <= F.col("n")) & (4 * F.col("m") >= 3 * F.col("n")) & (7 * F.least("left", "m_left") >= 3 * (F.col("n") + F.col("m")))
             asked = cross.join(open_.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
             met = asked.join(small, "token").where(fit).groupBy(F.col("rep").alias("a"), "n", "g", "b", "m").count()
-            met = narrow_side(materialise(met.join(open_, ["a", "g"], "left_semi").select("a", "b", "n", "m"), f"met-{wave}"))
+            met_tables = [materialise(met.join(open_, ["a", "g"], "left_semi").select("a", "b", "n", "m"), f"met-{wave}")]
+            met = narrow_side(met_tables[0])
             mine = own.select(F.col("row_id").alias("a"), "prefix").join(met, "a")
             index_b = own.select(F.col("row_id").alias("b"), F.expr("slice(prefix, 1, cast(n div 7 + 1 as int))").alias("index")).join(met.select("b").distinct(), "b", "left_semi")
             both = mine.join(index_b, "b").withColumn("count", F.size(F.array_intersect("prefix", "index")))
             found = both.where(_enough(F.col("count"), F.col("n"), F.col("m"), F.col("m")))
         pairs = materialise(found.select("a", "b"), f"pairs-{wave}")
         new = materialise(_verified(pairs, blobs), f"links-{wave}")
+        drop(cross, probe, open_, pairs, *met_tables)
         links = links.unionByName(new)
         if not new.isEmpty():
             groups = components(links)
 
     named = classes.join(groups, "rep", "left").select("sig", "least", F.coalesce("grp", "rep").alias("grp"))
-    least = named.groupBy("grp").agg(F.min("least").alias("component_id"))
-    of_class = materialise(named.join(least, "grp").select("sig", "component_id"), "class-components")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("n > 0").join(of_class, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
-
-
+    # One row per group of several classes; the others are their own group.
+    several = materialise(named.join(groups.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.min("least").alias("first")), "firsts")
+    first = F.coalesce("first", "least").alias("first")
+    of_class = materialise(named.join(narrow_side(several), "grp", "left").select("sig", first), "class-components")
+    drop(shared, blobs, wanted, several)
+    named_key = [F.col(k).alias(key_col) for k in key]
+    facts = ["doc_id", F.col("n").alias("n_shingles")]
+    empty = rows.where("n = 0").select(*facts, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), *named_key)
+    full = rows.where("n > 0").join(of_class, "sig").select(*facts, F.col("first.doc_id").alias("component_id"), (F.col("row_id") == F.col("first.row_id")).alias("kept"), *named_key)
+    return full.unionByName(empty)

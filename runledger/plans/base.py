@@ -22,6 +22,7 @@ WORDS = {
     "nl": ("'\\n'", "chr(10)"),
     "nul": ("char(0)", "chr(0)"),
     "str": ("STRING", "VARCHAR"),
+    "strings": ("ARRAY<STRING>", "VARCHAR[]"),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -7,10 +7,10 @@ from runledger.llm import tool_calls
 
 def linked(spark, needs, places):
     """needs: call -> calls; places: call -> (turn, place). All calls have a result a turn later."""
-    calls = [(1, *places[c], c, "f", {}, list(n)) for c, n in needs.items()]
-    calls = spark.createDataFrame(calls, "conv_id long, turn long, place int, call_id string, tool string, arguments map<string,string>, needs array<string>")
+    calls = [(1, *places[c], c, "f", "{}", list(n)) for c, n in needs.items()]
+    calls = spark.createDataFrame(calls, "conv_id long, turn long, place int, call_id string, tool string, arguments string, needs array<string>")
     results = spark.createDataFrame([(1, t + 1, c, "ok") for c, (t, _) in places.items()], "conv_id long, turn long, call_id string, content string")
-    return {r.call_id: r for r in tool_calls.link(calls, results, {"f": {}}).collect()}
+    return {r.call_id: r for r in tool_calls.link(calls, results, {"f": {}}).collect() if r.kind == "call"}
 
 
 def reaches(needs, a, b):

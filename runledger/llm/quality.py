@@ -5,7 +5,7 @@ n of GRAMS). A softmax layer maps the average to the classes. Training is mini-b
 descent with per-weight step sizes (Adagrad) in numpy. Classes weigh in as they occur in the labelled rows.
 
 Training takes a bounded sample: of each class the TRAIN_ROWS labelled rows of smallest hash of their id. Their
-bags of features come to the driver, at most BUCKETS counts a row. Scoring reads every whole text: vectors and
+bags of features come to the driver compressed, at most BUCKETS weights a row. Scoring reads every whole text: vectors and
 softmax layer fold into one number per bucket, as the average and the layer are both linear before the softmax.
 
 Defined cases: null text counts as empty; an empty text scores the bias alone; rows whose id is null are never
@@ -20,6 +20,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -79,7 +81,7 @@ def _word_edge(text: bytes, at: int) -> int:
 
 
 def _bags(batches):
-    schema = pa.schema([("label", pa.int32()), ("bucket", pa.binary()), ("weight", pa.binary())])
+    schema = pa.schema([("label", pa.int32()), ("bag", pa.binary())])
     for batch in batches:
         rows = []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -87,13 +89,19 @@ def _bags(batches):
             for part in buckets(text.as_py()):
                 count += np.bincount(part, minlength=BUCKETS)
             used = np.flatnonzero(count)
-            rows.append((label, used.astype("<u2").tobytes(), (count[used] / max(1, count.sum())).astype("<f4").tobytes()))
+            rows.append((label, zstandard.compress(used.astype("<u2").tobytes() + (count[used] / max(1, count.sum())).astype("<f4").tobytes())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def sgd(bags: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> tuple[np.ndarray, float]:
-    """Learn from (label, buckets, weights); returns each bucket's part in the log odds of class 1, and the bias."""
+def _unpacked(bag) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(bag)
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n)
+
+
+def sgd(bags: list[tuple[int, memoryview]], prior: float) -> tuple[np.ndarray, float]:
+    """Learn from (label, packed bag); returns each bucket's part in the log odds of class 1, and the bias."""
     rng = np.random.default_rng(SEED)
     vectors, layer, bias = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM, np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     g_vec, g_layer, g_bias = np.full((BUCKETS, 1), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
@@ -104,11 +112,14 @@ def sgd(bags: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> tuple[n
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
-            x = np.zeros((len(own), BUCKETS), np.float32)
-            for i, j in enumerate(own):
-                x[i, bags[j][1]] = bags[j][2]
-            used = np.flatnonzero(x.any(0))
-            x = x[:, used]
+            parts = [_unpacked(bags[j][1]) for j in own]
+            seen = np.zeros(BUCKETS, bool)
+            for bucket, _ in parts:
+                seen[bucket] = True
+            used, place = np.flatnonzero(seen), np.cumsum(seen) - 1
+            x = np.zeros((len(own), len(used)), np.float32)
+            for i, (bucket, weight) in enumerate(parts):
+                x[i, place[bucket]] = weight
             hidden = x @ vectors[used]
             z = hidden @ layer + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -138,11 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(docs.sparkSession)
     sample = known.where("label = 0").orderBy("order", id_col).limit(rows).unionByName(known.where("label = 1").orderBy("order", id_col).limit(rows))
     texts = docs.select(F.col(id_col), text_bytes(text_col).alias("t")).join(F.broadcast(sample.select(id_col, "label")), id_col)  # 2 * rows narrow rows
-    bags = texts.select("label", "t").mapInArrow(_bags, "label int, bucket binary, weight binary").collect()
-    found = sorted((r["label"], bytes(r["bucket"]), bytes(r["weight"])) for r in bags)  # one order whatever the partitions
+    bags = texts.select("label", "t").mapInArrow(_bags, "label int, bag binary").toArrow()  # packed: the driver unpacks BATCH of them at a time
+    found = [(a, memoryview(b.as_buffer())) for a, b in zip(bags.column(0).to_pylist(), bags.column(1), strict=True)]
+    found.sort(key=lambda r: (r[0], xxhash.xxh3_128_digest(r[1])))  # one order whatever the partitions
     if len({b[0] for b in found}) < 2:
         return np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    return sgd([(a, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<f4")) for a, b, c in found], prior)
+    return sgd(found, prior)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -11,7 +11,8 @@
    the range of their sizes. The overlap of a larger class with a group of smaller ones is bounded from the tokens
    they share; groups whose bound is too low stay shut.
 5. Only members of open groups are compared, whole text against whole text. First one member a class and group;
-   groups that fall together need no further comparison; then all that is left.
+   groups that fall together need no further comparison; then all that is left. No pair of classes found in a group
+   of one class is compared again.
 
 Step 5 ends with every pair of different groups that could be linked compared, so no link is lost.
 
@@ -25,6 +26,8 @@ an empty table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,6 +44,8 @@ SHINGLE = 5
 SAMPLE, SEEN, HOT_TOKENS = 16, 4, 500_000
 #: Share of a prefix that two classes share to be taken for one group without looking for a better match.
 ALIKE = 0.6
+#: Input partitions whose holders of a frequent token look for a hub together.
+DEALT = 64
 #: Classes whose sizes differ by less than this factor may share a hub.
 NEAR_SIZE = 1.15
 
@@ -155,13 +160,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     classes = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("row_id", "doc_id")).alias("r"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("least"))
     classes = materialise(classes.select("sig", F.col("r.row_id").alias("rep"), F.col("r.doc_id").alias("rep_doc"), "least"), "classes")
-    own = rows.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
-    index = own.select("n", F.col("row_id").alias("rep"), F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token")).withColumns({"left": F.col("n") - F.col("at"), "near_n": F.floor(F.log("n") / np.log(NEAR_SIZE)).cast("int")})
+    own = rows.join(narrow_side(classes.select(F.col("rep").alias("row_id"))), "row_id", "left_semi")
+    # Any number of texts may hold a frequent token: its holders are dealt by input partitions, and meet in the waves below.
+    deal = F.when(F.col("token") >= 0, F.expr(f"shiftright(rep, 33) div {DEALT}")).otherwise(0).cast("int")
+    index = own.select(F.col("row_id").alias("rep"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).withColumn("deal", deal).repartition("token", "deal")
+    index = index.withColumns({"n": F.col("n").cast("long"), "p": F.expr("cast(n - (3L * n + 3) div 4 + 1 as int)"), "left": F.expr("cast(n - at as long)"), "near_n": F.floor(F.log("n") / np.log(NEAR_SIZE)).cast("int")})
     # Rare tokens come first, so a common token stands foremost in the class with the fewest tokens of its own: the
     # class nearest to the text that a cluster's members were made from. It serves as the hub of its sizes.
-    along, hub = Window.partitionBy("token").orderBy("near_n", "at", "rep"), Window.partitionBy("token", "near_n").orderBy("at", "rep")
+    along, hub = Window.partitionBy("token", "deal").orderBy("near_n", "at", "rep"), Window.partitionBy("token", "deal", "near_n").orderBy("at", "rep")
     beside = index.withColumns({"prev": F.lag(F.struct("rep", "n", "at")).over(along), "next": F.lead("rep").over(along), "first": F.first(F.struct("rep", "n", "at")).over(hub)})
-    shared = materialise(beside.where("prev is not null or next is not null").drop("next", "at", "near_n"), "shared")
+    shared = materialise(beside.where("prev is not null or next is not null or token >= 0").drop("next", "at", "near_n", "deal"), "shared")
 
     # Grouping: one comparison a class, with the foremost hub that is much alike, else with the class most alike.
     maybe = shared.where("prev is not null").select("rep", "n", "p", F.explode(F.array_distinct(F.array("prev", "first"))).alias("to"))
@@ -177,31 +185,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialise(_verified(pairs, blobs), "links-0")
     groups = components(links)
 
-    drop(pairs)
+    done = [pairs]  # pairs of classes that were compared
     for wave in (1, 2):
         met_tables = []
-        placed = shared.select("token", "rep", "n", "left").join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
+        placed = shared.select("token", "rep", "n", "left").join(groups, "rep", "left").withColumns({"alone": F.col("grp").isNull(), "grp": F.coalesce("grp", "rep")})
         crossing = placed.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
         cross = materialise(placed.join(crossing, "token"), f"cross-{wave}")
         if cross.isEmpty():
             break
         # The smaller of two sets is looked up by the larger. As more than 6n/7 of the smaller are shared, its
         # index needs a shorter prefix: a frequent passage is indexed only where it is most of a text.
-        small = cross.where("7 * left >= 6 * n").select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("left").alias("m_left"), F.col("grp").alias("g"))
-        matrix = small.groupBy("token", "g").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.max("m_left").alias("most"), F.min_by("b", F.struct("m", "b")).alias("b"))
+        small = cross.where("7 * left >= 6 * n").select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("left").alias("m_left"), F.col("grp").alias("g"), F.col("alone").alias("g_alone"))
+        matrix = small.groupBy("token", "g").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.max("m_left").alias("most"), F.min_by("b", F.struct("m", "b")).alias("b"), F.bool_and("g_alone").alias("g_alone"))
         floor = F.greatest(F.col("low"), F.ceil(3 * F.col("n") / 4))
         may = (F.col("grp") != F.col("g")) & (F.col("low") <= F.col("n")) & (4 * F.col("high") >= 3 * F.col("n"))
         # Behind the first common token of a linked pair as many tokens are left as it shares, but not behind the
         # later ones: all common tokens are hits, and one of them must stand early enough.
         early = 7 * F.least("left", "most") >= 3 * (F.col("n") + floor)
-        hits = cross.join(matrix, "token").where(may).groupBy(F.col("rep").alias("a"), "n", "g", "b")
-        hits = hits.agg(F.count(F.lit(1)).alias("count"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(early).alias("early"))
-        probe = materialise(hits, f"probe-{wave}")
-        bounds = probe.groupBy("a", "n", "g").agg(F.sum("count").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("early").alias("early"))
-        open_ = materialise(bounds.where(F.col("early") & _enough(F.col("hits"), F.col("n"), floor, F.least("high", "n"))).select("a", "g"), f"open-{wave}")
+        met = cross.join(matrix, "token").where(may)
+        # Pairs without an early hit are out before hits are counted, and so are classes compared before; a group of one
+        # class has its number. The first wave compares with the member that holds the rarest common token.
+        asked = met.where(early).select(F.col("rep").alias("a"), "g", "g_alone").distinct()
+        both_ways = [d.select(F.col(x).alias("a"), F.col(y).alias("g")).withColumn("g_alone", F.lit(True)) for d in done for x, y in (("a", "b"), ("b", "a"))]
+        first = narrow_side(materialise(asked.join(reduce(DataFrame.unionByName, both_ways), ["a", "g", "g_alone"], "left_anti").select("a", "g"), f"early-{wave}"))
+        hits = met.withColumnRenamed("rep", "a").join(first, ["a", "g"], "left_semi").groupBy("a", "g")
+        member = [F.max(F.struct("left", "b")).alias("rarest")] if wave == 1 else []
+        probe = hits.agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), *member)
+        enough = _enough(F.col("hits"), F.col("n"), floor, F.least("high", "n"))
+        open_ = materialise(probe.where(enough).select("a", "g", *["rarest.b"] * (wave == 1)), f"open-{wave}")
         if wave == 1:
-            tried = probe.join(open_, ["a", "g"], "left_semi")
-            found = tried.groupBy("a", "g").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+            found = open_
         else:
             # Pairs with an early hit are few; all their hits are counted from the two prefixes, without a join by token.
             fit = (F.col("grp") != F.col("g")) & (F.col("m") <= F.col("n")) & (4 * F.col("m") >= 3 * F.col("n")) & (7 * F.least("left", "m_left") >= 3 * (F.col("n") + F.col("m")))
@@ -209,23 +222,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             met = asked.join(small, "token").where(fit).groupBy(F.col("rep").alias("a"), "n", "g", "b", "m").count()
             met_tables = [materialise(met.join(open_, ["a", "g"], "left_semi").select("a", "b", "n", "m"), f"met-{wave}")]
             met = narrow_side(met_tables[0])
-            mine = own.select(F.col("row_id").alias("a"), "prefix").join(met, "a")
-            index_b = own.select(F.col("row_id").alias("b"), F.expr("slice(prefix, 1, cast(n div 7 + 1 as int))").alias("index")).join(met.select("b").distinct(), "b", "left_semi")
+            mine = rows.select(F.col("row_id").alias("a"), "prefix").join(met, "a")
+            index_b = rows.select(F.col("row_id").alias("b"), F.expr("slice(prefix, 1, cast(n div 7 + 1 as int))").alias("index")).join(narrow_side(met.select("b").distinct()), "b", "left_semi")
             both = mine.join(index_b, "b").withColumn("count", F.size(F.array_intersect("prefix", "index")))
             found = both.where(_enough(F.col("count"), F.col("n"), F.col("m"), F.col("m")))
         pairs = materialise(found.select("a", "b"), f"pairs-{wave}")
+        done.append(pairs)
         new = materialise(_verified(pairs, blobs), f"links-{wave}")
-        drop(cross, probe, open_, pairs, *met_tables)
+        drop(cross, open_, *met_tables)
         links = links.unionByName(new)
         if not new.isEmpty():
             groups = components(links)
 
-    named = classes.join(groups, "rep", "left").select("sig", "least", F.coalesce("grp", "rep").alias("grp"))
+    named = classes.join(groups, "rep", "left").select("sig", "least", F.coalesce("grp", "rep").alias("grp"), F.col("grp").isNotNull().alias("several"))
     # One row per group of several classes; the others are their own group.
-    several = materialise(named.join(groups.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.min("least").alias("first")), "firsts")
+    several = materialise(named.where("several").groupBy("grp").agg(F.min("least").alias("first")), "firsts")
     first = F.coalesce("first", "least").alias("first")
     of_class = materialise(named.join(narrow_side(several), "grp", "left").select("sig", first), "class-components")
-    drop(shared, blobs, wanted, several)
+    drop(shared, blobs, wanted, several, *done)
     named_key = [F.col(k).alias(key_col) for k in key]
     facts = ["doc_id", F.col("n").alias("n_shingles")]
     empty = rows.where("n = 0").select(*facts, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), *named_key)

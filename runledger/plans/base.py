@@ -53,7 +53,9 @@ def query(name: str, relations: dict[str, Relation], oracle: str | None = None):
         QUERIES[name] = run
         if oracle is not None:
             views = ", ".join(f"{n} AS ({r.duck})" for n, r in relations.items())
-            ORACLES[name] = f"WITH {views} {oracle}" if not oracle.lstrip().upper().startswith("WITH ") else f"WITH {views}, {oracle.lstrip()[5:]}"
+            text = oracle.lstrip()
+            word = next((w for w in ("WITH RECURSIVE ", "WITH ") if text.startswith(w)), "")
+            ORACLES[name] = f"{word or 'WITH '}{views}{',' * bool(word)} {text[len(word):]}"
         return plan
 
     return register

@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars (Kiveris et al., 2014), in DataFrame functions.
 
-Links stay distributed; the driver sees one count and one checksum a round, and rounds grow with the logarithm
-of a component's length. Each round is written, so a lost executor costs that round at most.
+Links stay distributed; the driver sees one answer a round, whether all links form stars by now, and rounds grow with
+the logarithm of a component's length. Each round is written, so a lost executor costs that round at most.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from .store import drop, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b), a > b. Links neighbours of each node to the smallest among them and the node."""
+    """edges (a, b), with a > b unless large. Links neighbours of each node to the smallest among them and the node."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
@@ -27,15 +27,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (a, b), a > b, has one smaller neighbour or only larger ones: then b is a's smallest node."""
+    sides = [edges.select(F.col(c).alias("node"), F.lit(own).alias("below")) for c, own in (("a", 1), ("b", 0))]
+    node = sides[0].unionByName(sides[1]).groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+    return node.where("below > 1 or below = 1 and least = 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """links: a, b (long). Returns rep, grp: each linked node with the smallest node of its component."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    seen = None
+    """links: a, b (long), materialised. Returns rep, grp: each linked node with the smallest node of its component."""
+    edges = links.where("a <> b")
     while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
         before, edges = edges, materialise(_star(_star(edges, True), False), "edges")
-        drop(before)
+        drop(before)  # the links themselves stay
+        if _all_stars(edges):
+            break
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("grp")).unionByName(edges.select(F.col("b").alias("rep"), F.col("b").alias("grp")).distinct())

@@ -126,8 +126,8 @@ def _compare(batches):
 
 def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that are linked; pairs is materialised."""
-    pairs = narrow_side(pairs)
-    asked = narrow_side(materialise(pairs.select("a").distinct(), "asked"))
+    rows = pairs.count()
+    pairs, asked = narrow_side(pairs, rows), narrow_side(pairs.select("a"), rows)
     left = blobs.select(F.col("rep").alias("a"), F.col("blob").alias("x")).join(asked, "a", "left_semi")
     right = blobs.select(F.col("rep").alias("b"), F.col("blob").alias("y"))
     return right.join(pairs, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long")
@@ -179,11 +179,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = materialise(maybe.groupBy("rep").agg(best.alias("b")).select(F.col("rep").alias("a"), "b"), "pairs")
     wanted = shared.select("rep").distinct().join(classes, "rep").select("rep", "sig", "rep_doc")
     wanted = materialise(wanted, "wanted")
-    ids = narrow_side(materialise(wanted.select("rep_doc").distinct(), "wanted-ids"))
+    n_wanted = wanted.count()
+    ids = narrow_side(wanted.select("rep_doc"), n_wanted)
     blobs = texts.select("doc_id", "t").join(ids, F.col("doc_id").eqNullSafe(F.col("rep_doc")), "left_semi").mapInArrow(_packed, "sig binary, blob binary")
-    blobs = materialise(blobs.join(narrow_side(wanted.select("rep", "sig")), "sig").dropDuplicates(["rep"]).select("rep", "blob"), "texts", "uncompressed")
-    links = materialise(_verified(pairs, blobs), "links-0")
-    groups = components(links)
+    blobs = materialise(blobs.join(narrow_side(wanted.select("rep", "sig"), n_wanted), "sig").dropDuplicates(["rep"]).select("rep", "blob"), "texts", "uncompressed")
+    groups = components(materialise(_verified(pairs, blobs), "links-0"))
 
     done = [pairs]  # pairs of classes that were compared
     for wave in (1, 2):
@@ -230,9 +230,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         done.append(pairs)
         new = materialise(_verified(pairs, blobs), f"links-{wave}")
         drop(cross, open_, *met_tables)
-        links = links.unionByName(new)
-        if not new.isEmpty():
-            groups = components(links)
+        if not new.isEmpty():  # groups so far are stars: they stand for all links before
+            groups = components(groups.select(F.col("rep").alias("a"), F.col("grp").alias("b")).unionByName(new))
 
     named = classes.join(groups, "rep", "left").select("sig", "least", F.coalesce("grp", "rep").alias("grp"), F.col("grp").isNotNull().alias("several"))
     # One row per group of several classes; the others are their own group.

@@ -79,6 +79,15 @@ def test_components_of_a_chain(spark):
     assert dict(map(tuple, components(links).collect())) == {i: 0 if i <= 20 else 21 for i in range(41)}
 
 
+def test_components_of_stars_joined_by_new_links(spark):
+    """As between two waves: stars with loops at their centres, then links either way round, repeated, between leaves."""
+    stars = [(i, i % 3) for i in range(30)] + [(100, 90), (101, 90), (90, 90)]
+    new = [(4, 5), (5, 4), (4, 5), (29, 101)]
+    for links, want in ((stars, lambda i: i % 3 if i < 30 else 90), (stars + new, lambda i: 0 if i < 30 and i % 3 == 0 else 1), ([], None)):
+        got = components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(got) == len({r.rep for r in got}) and {r.rep: r.grp for r in got} == {i: want(i) for pair in links for i in pair}
+
+
 def test_exact_dedup(docs, empty):
     norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, _ in made()]
     for width in (16, 1):  # one byte: digests collide, and are not trusted

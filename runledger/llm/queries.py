@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, pii, quality, token_pack, tool_calls
+from . import bpe, licenses, pii, quality, ranked_search, secret_scan, token_pack, tool_calls
 from .chunk_dedup import exact_dedup
 from .mixing import mix
 from .shingle_join import jaccard_components
@@ -24,6 +24,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _joined(spans: Column) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def op1_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "ids")
     return token_pack.read_digests(spark, folder, len(token_pack.write(documents(spark, sf_dir), tokenizer_path(), folder)))
@@ -33,8 +38,7 @@ def op2_traced_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["base"])
     of_kind = [F.size(F.filter(base, lambda s: s["kind"] == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *of_kind, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *of_kind, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,18 @@ def op10_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_pack, op2_traced_pii, op3_chunk_dedup, op4_tool_calls, op5_token_groups, op6_license_diagonals, op7_source_mix, op8_word_bpe, op9_subword_quality, op10_vector_top_k)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = [F.size(F.filter(base, lambda s: s["kind"] == F.lit(k))).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select("doc_id", *of_kind, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op12_window_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_pack, op2_traced_pii, op3_chunk_dedup, op4_tool_calls, op5_token_groups, op6_license_diagonals, op7_source_mix, op8_word_bpe, op9_subword_quality, op10_vector_top_k, op11_secret_scan, op12_window_ranking)}
 
 ORACLES = {
     "op3_chunk_dedup": r"""
@@ -117,4 +132,17 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s)
         SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= 5""",
+    "op12_window_ranking": r"""
+        WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents),
+        t AS (SELECT row_no, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        n AS (SELECT row_no, doc_id, count(*) AS n FROM t GROUP BY ALL),
+        g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+        p AS (SELECT row_no, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term, docs),
+        m AS (SELECT row_no, doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM n, g),
+        s AS (SELECT item_id, row_no, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+              FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (row_no) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rk FROM s WHERE score > 0)
+        SELECT item_id, rk::INTEGER AS rank, doc_id, score FROM r WHERE rk <= 10""",
 }

@@ -120,6 +120,8 @@ class WindowScorer:
         gain = self.weights[held] * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[slot]))
         by_term = np.argsort(held, kind="stable")
         held, slot, gain = held[by_term], slot[by_term], gain[by_term]
+        if not len(held):
+            return
         present, first = np.unique(held, return_index=True)
         lists = dict(zip(present.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(held)], strict=True), strict=True))
         for item, asked in enumerate(self.asked):

@@ -156,9 +156,18 @@ def semantic_summary(verdicts: DataFrame, by: list[str], outcome: str = "outcome
     return out.withColumn("empty", (F.col("n_violations") == 0) & (F.col("n_unresolved") == 0) & (F.col("n_skipped") == 0))
 
 
+def gate_counts(verdict: str = "verdict") -> list[Column]:
+    """E5. Aggregates n_failures and n_needs_contract; sums of them are those of the whole."""
+    need = F.coalesce(F.col(verdict) == "needs_contract", F.lit(False))
+    fail = ~F.coalesce(F.col(verdict).isin("verified", "needs_contract"), F.lit(False))
+    return [F.count(F.when(fail, 1)).alias("n_failures"), F.count(F.when(need, 1)).alias("n_needs_contract")]
+
+
+def gate_said(counts: DataFrame) -> DataFrame:
+    """N13. counts (n_failures) with the decision and the process status: 2 with a failure, else 0."""
+    return counts.withColumns({"decision": F.when(F.col("n_failures") > 0, "block").otherwise("pass"), "exit_code": F.when(F.col("n_failures") > 0, 2).otherwise(0)})
+
+
 def gate_counters(rows: DataFrame, by: list[str]) -> DataFrame:
-    """E5, N13. Per gate run the failures, the units that wait for a contract, the decision and the process status: 2 with a failure, else 0."""
-    need = F.coalesce(F.col("verdict") == "needs_contract", F.lit(False))
-    fail = ~F.coalesce(F.col("verdict").isin("verified", "needs_contract"), F.lit(False))
-    out = rows.groupBy(*by).agg(F.count(F.when(fail, 1)).alias("n_failures"), F.count(F.when(need, 1)).alias("n_needs_contract"))
-    return out.withColumns({"decision": F.when(F.col("n_failures") > 0, "block").otherwise("pass"), "exit_code": F.when(F.col("n_failures") > 0, 2).otherwise(0)})
+    """E5, N13. Per gate run the failures, the units that wait for a contract, the decision and the process status."""
+    return gate_said(rows.groupBy(*by).agg(*gate_counts()))

@@ -63,7 +63,7 @@ def parse(raw: Column) -> Column:
         stop = F.array_position(F.transform(rest, lambda x: x.rlike("^[ \t]").cast("int")), F.lit(0)).cast("int")
         inside = F.transform(F.when(stop > 0, F.slice(rest, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(rest), plain)
         words = F.filter(inside, lambda x: (x != "") & ~x.startswith(CWE))
-        numbers = F.element_at(F.filter(inside, lambda x: x.startswith(CWE)), -1)
+        numbers = F.try_element_at(F.filter(inside, lambda x: x.startswith(CWE)), F.lit(-1))
         cwe = F.filter(F.transform(F.split(F.substring(numbers, 5, 1 << 30), ","), plain), lambda x: x != "")
         prop = F.struct(
             _loc(place, PLACE, 1).alias("loc"), F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("description"), F.get(words, F.lit(1)).alias("expression"),

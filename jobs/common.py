@@ -1,17 +1,15 @@
-"""What the jobs share: their configuration, log, counted writes, and the folder of a registered run."""
+"""What the jobs share: their configuration, log and counted writes."""
 
 from __future__ import annotations
 
 import json
 import logging
-import tempfile
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
 LOG = logging.getLogger("jobs")
@@ -26,19 +24,6 @@ def config(name: str, path: str | None = None) -> dict:
     return found | own
 
 
-@contextmanager
-def settings(spark: SparkSession, **wanted: str):
-    """The session with some settings (underscores for dots) for a while."""
-    before = {(key := name.replace("_", ".")): spark.conf.get(key, None) for name in wanted}
-    try:
-        for name, value in wanted.items():
-            spark.conf.set(name.replace("_", "."), value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def counted(rows: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
     """rows, and their number once something has run over them: counted on the way, without a pass of its own."""
     seen = Observation(f"rows-{uuid.uuid4().hex}")
@@ -58,13 +43,3 @@ def write(rows: DataFrame, path: str, how: Callable[[DataFrameWriter], DataFrame
     how(rows.write).parquet(path)
     LOG.info("wrote %d rows to %s", n(), path)
     return n()
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A folder of its own below spark.checkpoint.dir; a local session without that setting gets one on its machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="jobs-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import source_worklist, verdict_ledger
-from jobs.common import new_folder
+from runledger.sources.shared import new_folder
 
 
 def job1_verdict_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import LOG, config, counted, settings, write
+from jobs.common import LOG, config, counted, write
 from runledger.operators import ladders
+from runledger.sources import settings
 
 PARTIAL = "batch long, day date, unit long, n_runs long, n_failures long, n_needs_contract long, standing struct<o:struct<{order}>,verdict:string,k:int>"
 #: Columns of the ledger; `folded` is the last batch that a day's rows hold.
@@ -100,7 +101,7 @@ def publish(spark: SparkSession, out: str, conf: dict) -> int:
 def run(spark: SparkSession, events: str, out: str, checkpoint: str, conf: dict | None = None) -> dict[str, int]:
     """Take the trace files of `events` that no run with this checkpoint has taken; returns the rows read and written."""
     conf, out = conf or config("verdict_ledger"), out.rstrip("/")
-    with settings(spark, spark_sql_sources_partitionColumnTypeInference_enabled="false"):
+    with settings.session(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):
         return {"read": land(spark, events, out, checkpoint, conf), "written": publish(spark, out, conf)}
 
 

@@ -1,17 +1,16 @@
 """The property store as tables: identity, insertion, status moves, and what is left to check.
 
-The store is a folder of Parquet files with an explicit schema. Inserting appends; a status move is a row of its own
-in a log of moves, and a property's status is its latest move, so nothing is rewritten in place.
+These are the rules over tables; streaming/property_store.py applies them to a log of commands that many writers append to.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import names
-from ..schemas import CHECKABLE, KINDS, MOVES, STATUSES, DuplicateProperty, InvalidStatusTransition, PropertyNotFound
+from ..schemas import CHECKABLE, KINDS, MOVES, STATUSES
 
 
 def identified(rows: DataFrame) -> DataFrame:
@@ -78,10 +77,13 @@ def judged_moves(store: DataFrame, wanted: DataFrame, moves: DataFrame) -> DataF
     return now.join(allowed, ["status", "new_status"], "left").withColumn("verdict", verdict).drop("__ok")
 
 
-def moved(store: DataFrame, wanted: DataFrame, moves: DataFrame) -> DataFrame:
-    """B3. The store after the allowed ones of the moves wanted, one per property; others leave their row as it is."""
-    ok = judged_moves(store, wanted, moves).where("verdict = 'ok'").select("property_id", F.col("new_status").alias("__new"))
-    return store.join(ok, "property_id", "left").withColumn("status", F.coalesce("__new", "status")).select(*store.columns)
+def moved(store: DataFrame, wanted: DataFrame, moves: DataFrame, order: tuple[str, ...] = ("new_status",)) -> DataFrame:
+    """B3. The store after the moves wanted, each property's in order; one that is not allowed when its turn comes changes nothing. The moves are a handful of rows."""
+    allowed = F.array(*[F.lit(f"{a} {b}") for a, b in moves.select("status", "new_status").collect()])
+    turns = wanted.groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.col("new_status").alias("to")))).alias("__turns"))
+    step = lambda now, turn: F.when(F.array_contains(allowed, F.concat_ws(" ", now, turn["to"])), turn["to"]).otherwise(now)
+    folded = F.when(F.col("__turns").isNull(), F.col("status")).otherwise(F.aggregate("__turns", F.col("status"), step))
+    return store.join(turns, "property_id", "left").withColumn("status", folded).select(*store.columns)
 
 
 def with_candidates(verified: DataFrame, store: DataFrame) -> DataFrame:
@@ -102,77 +104,7 @@ def check_status(runs: DataFrame, timeout_s: float = 20.0, grace_s: float = 5.0,
 
 def check_plan(properties: DataFrame) -> DataFrame:
     """N1. What becomes of each property before any run: skipped (with reason) if it is not semantic, error if it cannot be rendered, else to be verified."""
-    skip = F.lit("reachability harnessing deferred (ADR-0009 D2)")
+    skip = F.lit("reachability properties are not harnessed yet")
     reason = F.when(F.col("kind") != "semantic", skip).when(F.col("render_error").isNotNull(), F.concat(F.lit("harness render failed: "), "render_error"))
     plan = F.when(F.col("kind") != "semantic", "skipped").when(F.col("render_error").isNotNull(), "error")
     return properties.where(F.col("status").isin(*CHECKABLE)).withColumns({"settled": plan, "skip_reason": reason})
-
-
-class PropertyStore:
-    """A1, L5. The store on disk: properties are appended, moves are logged. Opening creates nothing but the folder."""
-
-    VERSION = 1
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._files.mkdirs(path)
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/v{self.VERSION}/{name}"
-        if not self._files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def _append(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/v{self.VERSION}/{name}")
-
-    @property
-    def properties(self) -> DataFrame:
-        """Every property with its present status."""
-        moves = self._table("moves", "property_id string, new_status string, n long")
-        last = moves.groupBy("property_id").agg(F.max_by("new_status", "n").alias("__new"))
-        rows = self._table("properties", schemas.PROPERTY)
-        return rows.join(last, "property_id", "left").withColumn("status", F.coalesce("__new", "status")).select(*rows.columns)
-
-    def _numbered(self, new: DataFrame, order: list[str]) -> DataFrame:
-        """new with ord behind those of the store: numbers grow along order, batch after batch."""
-        last = self._table("properties", schemas.PROPERTY).agg(F.max("ord")).first()[0]
-        place = F.row_number().over(Window.partitionBy("unit_id").orderBy(*order))
-        return new.withColumn("ord", F.lit(-1 if last is None else last) + place.cast("long"))
-
-    def add(self, new: DataFrame, order: list[str]) -> None:
-        """B1. Append; any id that is taken fails the whole call before anything is written."""
-        good, bad = checked(new.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())))
-        if not bad.isEmpty():
-            raise schemas.PropertyStoreError(f"malformed properties, as {bad.select('property_id', 'reject_reason').first()}")
-        taken = duplicates(self.properties, new).first()
-        if taken:
-            raise DuplicateProperty(taken[0])
-        self._append(self._numbered(good, order).select(*self._table("properties", schemas.PROPERTY).columns), "properties")
-
-    def add_absent(self, new: DataFrame, order: list[str]) -> None:
-        """B2."""
-        fresh = insert_absent(self.properties, new, order)
-        self._append(self._numbered(fresh.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())), order).select(*self._table("properties", schemas.PROPERTY).columns), "properties")
-
-    def get(self, property_id: str):
-        """A2. A row, or None."""
-        return by_id(self.properties, property_id).first()
-
-    def list_for_unit(self, unit_id: str, statuses: tuple[str, ...] | None = None) -> DataFrame:
-        """C1, G1."""
-        return in_order(for_unit(self.properties, unit_id, statuses))
-
-    def update_status(self, property_id: str, new_status: str):
-        """B3. Check, then log the move; nothing is written for an unknown id or a move that is not allowed."""
-        wanted = self.spark.createDataFrame([(property_id, new_status)], "property_id string, new_status string")
-        verdict = judged_moves(self.properties, wanted, transitions(self.spark)).first()
-        if verdict["verdict"] == "unknown_id":
-            raise PropertyNotFound(property_id)
-        if verdict["verdict"] == "invalid":
-            raise InvalidStatusTransition(f"{verdict['status']} -> {new_status} is not an allowed status transition")
-        n = self._table("moves", "property_id string, new_status string, n long").agg(F.count(F.lit(1))).first()[0]
-        self._append(wanted.withColumn("n", F.lit(n).cast("long")), "moves")
-        return self.get(property_id)

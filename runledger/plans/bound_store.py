@@ -91,7 +91,7 @@ def d1(verified, store):
     return properties.with_candidates(verified, store)
 
 
-@query("n1_check_plan", {"store": STORE}, "SELECT ord, CASE WHEN ord % 5 = 0 THEN 'skipped' WHEN ord % 11 = 0 THEN 'error' END AS settled, CASE WHEN ord % 5 = 0 THEN 'reachability harnessing deferred (ADR-0009 D2)' WHEN ord % 11 = 0 THEN 'harness render failed: render failed' END AS skip_reason FROM store WHERE ord % 4 < 2")
+@query("n1_check_plan", {"store": STORE}, "SELECT ord, CASE WHEN ord % 5 = 0 THEN 'skipped' WHEN ord % 11 = 0 THEN 'error' END AS settled, CASE WHEN ord % 5 = 0 THEN 'reachability properties are not harnessed yet' WHEN ord % 11 = 0 THEN 'harness render failed: render failed' END AS skip_reason FROM store WHERE ord % 4 < 2")
 def n1(store):
     return properties.check_plan(store).select("ord", "settled", "skip_reason")
 

@@ -207,7 +207,7 @@ def j9(exprs):
     return exprs.select("doc_id", cexpr.unsafe_reason(F.col("expression")).alias("reason"))
 
 
-_INVALID = f"""CASE WHEN doc_id % 5 = 0 THEN 'non-semantic kind ''reachability'' (semantic-only, ADR-0009 D2)' WHEN {_UNSAFE} IS NOT NULL THEN 'unsafe expression: ' || {_UNSAFE} WHEN doc_id % 11 = 9 THEN 'vacuous expression: references neither a parameter nor the result'
+_INVALID = f"""CASE WHEN doc_id % 5 = 0 THEN 'non-semantic kind ''reachability'' (only semantic ones are proposed)' WHEN {_UNSAFE} IS NOT NULL THEN 'unsafe expression: ' || {_UNSAFE} WHEN doc_id % 11 = 9 THEN 'vacuous expression: references neither a parameter nor the result'
     WHEN doc_id % 4 = 1 THEN 'domain expr ''result > 0'' references the result (unavailable pre-call)' WHEN doc_id % 4 = 2 THEN 'vacuous domain expr ''1 > 0'': references no parameter'"""
 
 

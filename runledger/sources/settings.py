@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import shlex
 from collections.abc import Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 from ..schemas import ConfigError
 
 
@@ -50,3 +53,16 @@ class Settings:
     @property
     def blocks(self) -> bool:
         return bool(self.errors)
+
+
+@contextmanager
+def session(spark: SparkSession, wanted: dict[str, str]):
+    """The session with these settings for a while; what starts meanwhile, streams too, keeps them."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

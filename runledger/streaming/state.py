@@ -1,18 +1,13 @@
-"""K1 to K3, K10 as streams: a trace log read file by file, and the latest state of each unit kept with its writer's claim.
+"""K1, K10, D2 and E5 as streams: a trace log, runs as they come, sources that got no verdict in time, and counters per stretch of time.
 
-A file of a stream is read once, so a writer lands one file per flush. State is keyed; `apply` writes a version of its
-own for each batch id and the pointer last, so a batch that is tried again after a failure changes nothing twice.
+A file of a stream is read once, so a writer lands one file per flush. The gate's keyed state is in gate_state.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import gate, ladders
 from ..schemas import TRACE_EVENT
 
 
@@ -21,52 +16,6 @@ def trace_stream(spark: SparkSession, folder: str, schema: str = TRACE_EVENT) ->
     return spark.readStream.schema(schema).json(folder)
 
 
-class VersionedTable:
-    """A table of which each batch writes a new version; readers take the last whole one."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._files.mkdirs(self._path(self.root))
-
-    def versions(self) -> list[int]:
-        return sorted(int(s.getPath().getName()[1:]) for s in self._files.listStatus(self._path(self.root)) if self._files.exists(self._path(f"{s.getPath()}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        done = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{done[-1]}") if done else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        for old in self.versions()[:-2]:
-            self._files.delete(self._path(f"{self.root}/v{old}"), True)
-
-
-UNITS = "unit_id string, ts double, verdict string, k int"
-
-
-def keep_latest(events: DataFrame, table: VersionedTable, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """K2. The last verdict of each unit (unit, ts, verdict, k), kept batch by batch; all that is there is processed, then the stream ends."""
-
-    def apply(batch: DataFrame, n: int) -> None:
-        new = batch.where("type = 'verify' and unit is not null").select(F.col("unit").alias("unit_id"), "ts", "verdict", "k")
-        table.write(ladders.latest(table.read(before=n).unionByName(new), "unit_id", ["ts", "verdict", "k"]), n)
-        if after:
-            after(batch, n)
-
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def land(verdicts: DataFrame, units: VersionedTable, scanned: Callable[[], DataFrame], checkpoint: str) -> StreamingQuery:
-    """K3. Verdicts land only while their content is the last one scanned; the others are dropped, as their file has changed since."""
-
-    def apply(batch: DataFrame, n: int) -> None:
-        units.write(gate.landed(units.read(before=n), batch, scanned()), n)
-
-    return verdicts.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def rungs(runs: DataFrame) -> DataFrame:
     """K10. Runs as they come, each with its verdict and whether the ladder goes on: no later rung is waited for."""
     return runs.withColumn("escalates", F.coalesce(F.col("verdict") == "unknown", F.lit(True)) & F.col("next_k").isNotNull())
@@ -77,3 +26,18 @@ def counters(events: DataFrame, delay: str = "1 minute", width: str = "5 minutes
     at = F.timestamp_seconds("ts")
     rows = events.where("type = 'gate'").withColumn("at", at).withWatermark("at", delay)
     return rows.groupBy(F.window("at", width)).agg(F.count(F.when(F.col("decision") == "block", 1)).alias("n_blocks"), F.count(F.when(F.col("decision") == "pass", 1)).alias("n_passes"))
+
+
+def unanswered(edits: DataFrame, verdicts: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """D2, H2 over streams. Every edit (rel, digest, edited_at) once: with its verdict (rel, digest, judged_at, verdict) if one of the same content comes within the time, else as stale.
+
+    Either side may come late by `late`; what is later than the watermark is dropped by its side: a late verdict leaves its
+    edit stale, which has been said by then, and a late edit is not asked about. An edit without a verdict comes out when
+    the watermark has passed its time, so the state holds the edits and verdicts of `within` + `late` only. Several verdicts in time give a row each.
+    """
+    e = edits.withWatermark("edited_at", late).alias("e")
+    v = verdicts.withWatermark("judged_at", late).alias("v")
+    in_time = (F.col("v.judged_at") >= F.col("e.edited_at")) & (F.col("v.judged_at") <= F.col("e.edited_at") + F.expr(f"interval {within}"))
+    same = (F.col("e.rel") == F.col("v.rel")) & (F.col("e.digest") == F.col("v.digest"))
+    rows = e.join(v, same & in_time, "left_outer")
+    return rows.select("e.rel", "e.digest", "edited_at", "judged_at", "verdict", F.when(F.col("judged_at").isNull(), "stale").otherwise("judged").alias("status"))

@@ -1,7 +1,5 @@
 """Syntax trees, C text, sidecars, file sources and sinks, and streams on small inputs."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +7,6 @@ from runledger.functions import ctext, harness
 from runledger.operators import callgraph, precond, units
 from runledger.schemas import HarnessError
 from runledger.sources import readers, sinks
-from runledger.streaming import state
 
 DUMP = """TranslationUnitDecl 0x0 <<invalid sloc>> <invalid sloc>
 |-FunctionDecl 0x1 <a.c:1:1, line:3:1> line:1:5 f 'int (int *)' static
@@ -211,12 +208,3 @@ def test_texts_records_and_ports(spark, tmp_path):
 
     assert "no checker" in readers.runs(requests, broken).first().stderr
     assert "Timed out" in readers.runs(requests, late).first().stderr
-
-
-def test_latest_state_of_a_stream(spark, tmp_path):
-    folder, table = tmp_path / "log", state.VersionedTable(spark, str(tmp_path / "units"), state.UNITS)
-    folder.mkdir()
-    for n, events in enumerate([[("a", 1.0, "unknown"), ("b", 1.0, "violated")], [("a", 2.0, "verified"), ("b", 0.5, "verified")]]):
-        (folder / f"{n}.json").write_text("".join(json.dumps({"type": "verify", "unit": u, "ts": t, "verdict": v, "k": 4}) + "\n" for u, t, v in events))
-        state.keep_latest(state.trace_stream(spark, str(folder)), table, str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted((r.unit_id, r.verdict) for r in table.read().collect()) == [("a", "verified"), ("b", "violated")]

@@ -4,8 +4,8 @@ A text is the average of learned vectors: one per hashed word and one per hashed
 n of GRAMS). A softmax layer maps the average to the classes. Training is mini-batch stochastic gradient
 descent with per-weight step sizes (Adagrad) in numpy. Classes weigh in as they occur in the labelled rows.
 
-Training takes a bounded sample: of each class the TRAIN_ROWS labelled rows of smallest hash of their id. Their
-bags of features come to the driver compressed, at most BUCKETS weights a row. Scoring reads every whole text: vectors and
+Training takes a bounded sample: of each class the TRAIN_ROWS labelled ids of smallest hash, and of rows that repeat an id
+the one of smallest packed bag. Their bags of features come to the driver compressed, at most BUCKETS weights an id. Scoring reads every whole text: vectors and
 softmax layer fold into one number per bucket, as the average and the layer are both linear before the softmax.
 
 Defined cases: null text counts as empty; an empty text scores the bias alone; rows whose id is null are never
@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from .store import free_name, small_batches, text_bytes
 
-#: Rows of each class that are learned from, at most.
+#: Ids of each class that are learned from, at most.
 TRAIN_ROWS = 2500
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (3, 5)
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.2, 11
@@ -81,15 +81,15 @@ def _word_edge(text: bytes, at: int) -> int:
 
 
 def _bags(batches):
-    schema = pa.schema([("label", pa.int32()), ("bag", pa.binary())])
+    schema = pa.schema([("label", pa.int32()), ("order", pa.int64()), ("bag", pa.binary())])
     for batch in batches:
         rows = []
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for label, order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             count = np.zeros(BUCKETS, np.int64)
             for part in buckets(text.as_py()):
                 count += np.bincount(part, minlength=BUCKETS)
             used = np.flatnonzero(count)
-            rows.append((label, zstandard.compress(used.astype("<u2").tobytes() + (count[used] / max(1, count.sum())).astype("<f4").tobytes())))
+            rows.append((label, order, zstandard.compress(used.astype("<u2").tobytes() + (count[used] / max(1, count.sum())).astype("<f4").tobytes())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -148,8 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
     small_batches(docs.sparkSession)
     sample = known.where("label = 0").orderBy("order", id_col).limit(rows).unionByName(known.where("label = 1").orderBy("order", id_col).limit(rows))
-    texts = docs.select(F.col(id_col), text_bytes(text_col).alias("t")).join(F.broadcast(sample.select(id_col, "label")), id_col)  # 2 * rows narrow rows
-    bags = texts.select("label", "t").mapInArrow(_bags, "label int, bag binary").toArrow()  # packed: the driver unpacks BATCH of them at a time
+    texts = docs.select(F.col(id_col), text_bytes(text_col).alias("t")).join(F.broadcast(sample.select(id_col, "label", "order")), id_col)  # 2 * rows narrow rows
+    bags = texts.select("label", "order", "t").mapInArrow(_bags, "label int, order long, bag binary")
+    # One bag an id, however many rows repeat it; packed: the driver unpacks BATCH of them at a time.
+    bags = bags.groupBy("label", "order").agg(F.min("bag").alias("bag")).select("label", "bag").toArrow()
     found = [(a, memoryview(b.as_buffer())) for a, b in zip(bags.column(0).to_pylist(), bags.column(1), strict=True)]
     found.sort(key=lambda r: (r[0], xxhash.xxh3_128_digest(r[1])))  # one order whatever the partitions
     if len({b[0] for b in found}) < 2:

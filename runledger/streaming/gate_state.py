@@ -43,87 +43,94 @@ SESSION = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql
 
 
 class FileState(StatefulProcessor):
-    """The state of one file: its stamp, its marker, its units and the number of its changes."""
+    """The state of one file: its stamp, its marker, its units and the number of its changes. A batch reads it once, folds the file's commands over it, and writes what is other than before."""
 
     def __init__(self, keep_ms: int | None = None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        value = lambda name, schema: handle.getValueState(name, schema, self.keep_ms)
-        self.scanned, self.pending, self.count = value("scanned", "digest string"), value("pending", "hash string, attempts int, pid long"), value("count", "n long")
+        self.file = handle.getValueState("file", "digest string, hash string, attempts int, pid long, n long", self.keep_ms)
         self.units = handle.getMapState("units", "function string", "verdict string, k int, at long", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         rank = {kind: i for i, kind in enumerate(KINDS)}
         last = lambda r: (r.at is None, r.at or 0, rank.get(r.kind, len(KINDS)), r.function or "", r.digest or "", r.verdict or "", r.k or 0, r.pid or 0)
-        n = self.count.get()[0] if self.count.exists() else 0
+        stamp, *marker, n = self.file.get() if self.file.exists() else (None, None, 0, None, 0)
+        before = {f[0]: tuple(v) for f, v in self.units.iterator()} if n else {}
+        fold = _Fold(stamp, tuple(marker), dict(before))
         for row in sorted(rows, key=last):
-            for change in getattr(self, f"_{row.kind}" if row.kind in KINDS else "_other")(row):
-                c = {"outcome": None, "function": None, "old": None, "new": None, "k": None, "counterexample": None, "detail": None, "attempts": None} | change
+            for change in getattr(fold, row.kind if row.kind in KINDS else "other")(row):
+                c = dict.fromkeys(("outcome", "function", "old", "new", "k", "counterexample", "detail", "attempts")) | change
                 yield Row(rel=key[0], n=n, at=row.at, kind=row.kind, outcome=c["outcome"], function=c["function"], old=c["old"], new=c["new"], k=c["k"], counterexample=c["counterexample"], detail=c["detail"], digest=row.digest, attempts=c["attempts"])
                 n += 1
-        self.count.update((n,))
+        for function in before.keys() - fold.units.keys():
+            self.units.removeKey((function,))
+        for function, unit in fold.units.items():
+            if before.get(function) != unit:
+                self.units.updateValue((function,), unit)
+        self.file.update((fold.stamp, *fold.marker, n))
 
     def close(self) -> None:
         pass
 
-    def _stamp(self) -> str | None:
-        return self.scanned.get()[0] if self.scanned.exists() else None
 
-    def _known(self) -> dict:
-        return {f[0]: v for f, v in self.units.iterator()}
+NO_MARKER = (None, 0, None)
 
-    def _begin(self, row):
-        self.scanned.update((row.digest,))
-        listed, known = dict.fromkeys(row.functions or []), self._known()
-        for function in sorted(known.keys() - listed.keys(), key=str):
-            self.units.removeKey((function,))
-            yield {"outcome": "pruned", "function": function, "old": known[function][0]}
-        was = self.pending.get() if self.pending.exists() else None
-        attempts = min((was[1] if was and was[0] == row.digest else 0) + 1, MAX_PENDING)
-        self.pending.update((row.digest, attempts, row.pid))
+
+class _Fold:
+    """What each command makes of one file: stamp, marker (content, attempts, process) and units (verdict, k, at)."""
+
+    def __init__(self, stamp: str | None, marker: tuple, units: dict):
+        self.stamp, self.marker, self.units = stamp, marker, units
+
+    def _old(self, function):
+        return self.units[function][0] if function in self.units else None
+
+    def begin(self, row):
+        self.stamp, listed = row.digest, dict.fromkeys(row.functions or [])
+        for function in sorted(self.units.keys() - listed.keys(), key=str):
+            yield {"outcome": "pruned", "function": function, "old": self.units.pop(function)[0]}
+        attempts = min((self.marker[1] if self.marker[0] == row.digest else 0) + 1, MAX_PENDING)
+        self.marker = (row.digest, attempts, row.pid)
         yield {"outcome": "begun", "k": row.k, "attempts": attempts}
         for function in listed:
-            self.units.updateValue((function,), ("unknown", row.k, row.at))
-            yield {"outcome": "recorded", "function": function, "old": known[function][0] if function in known else None, "new": "unknown", "k": row.k, "detail": "verification pending"}
-
-    def _verdict(self, row):
-        known = self.units.getValue((row.function,)) if self.units.containsKey((row.function,)) else None
-        same = {"function": row.function, "old": known[0] if known else None, "new": known[0] if known else None}
-        if row.digest is None or self._stamp() != row.digest:
-            yield same | {"outcome": "stale"}
-        elif known and known[2] is not None and (row.at is None or row.at < known[2]):
-            yield same | {"outcome": "late"}
+            old, self.units[function] = self._old(function), ("unknown", row.k, row.at)
+            yield {"outcome": "recorded", "function": function, "old": old, "new": "unknown", "k": row.k, "detail": "verification pending"}
+
+    def verdict(self, row):
+        old = self._old(row.function)
+        if row.digest is None or self.stamp != row.digest:
+            yield {"outcome": "stale", "function": row.function, "old": old, "new": old}
+        elif old is not None and self.units[row.function][2] is not None and (row.at is None or row.at < self.units[row.function][2]):
+            yield {"outcome": "late", "function": row.function, "old": old, "new": old}
         else:
-            # What is no word for a verdict never reads as a pass: it stands as it came, and blocks.
-            self.units.updateValue((row.function,), (row.verdict, row.k, row.at))
-            yield same | {"outcome": "landed", "new": row.verdict or "error", "k": row.k, "counterexample": row.counterexample, "detail": row.detail}
+            # No word at all is an error; any other word stands as it came, and blocks unless it is a pass.
+            new = row.verdict or "error"
+            self.units[row.function] = (new, row.k, row.at)
+            yield {"outcome": "landed", "function": row.function, "old": old, "new": new, "k": row.k, "counterexample": row.counterexample, "detail": row.detail}
 
-    def _drift(self, row):
-        if row.digest is None or self._stamp() != row.digest or row.now == row.digest:
+    def drift(self, row):
+        if row.digest is None or self.stamp != row.digest or row.now == row.digest:
             yield {"outcome": "steady"}
             return
-        self.scanned.clear()
-        for function, (verdict, k, _) in sorted(self._known().items(), key=lambda u: str(u[0])):
-            self.units.updateValue((function,), ("unknown", k, row.at))
-            yield {"outcome": "withdrawn", "function": function, "old": verdict, "new": "unknown", "k": k, "detail": "changed while it was verified"}
-
-    def _clear(self, row):
-        was = self.pending.get() if self.pending.exists() else None
-        mine = was is not None and (was[0], was[2]) == (row.digest, row.pid)
-        if mine:
-            self.pending.clear()
-        yield {"outcome": "cleared" if mine else "kept", "attempts": was[1] if was else None}
-
-    def _delete(self, row):
-        for function, (verdict, *_) in sorted(self._known().items(), key=lambda u: str(u[0])):
-            yield {"outcome": "gone", "function": function, "old": verdict}
-        self.units.clear()
-        self.scanned.clear()
-        self.pending.clear()
+        self.stamp = None
+        for function, (old, k, _) in sorted(self.units.items(), key=lambda u: str(u[0])):
+            self.units[function] = ("unknown", k, row.at)
+            yield {"outcome": "withdrawn", "function": function, "old": old, "new": "unknown", "k": k, "detail": "changed while it was verified"}
+
+    def clear(self, row):
+        content, attempts, process = self.marker
+        mine = attempts > 0 and (content, process) == (row.digest, row.pid)
+        self.marker = NO_MARKER if mine else self.marker
+        yield {"outcome": "cleared" if mine else "kept", "attempts": attempts or None}
+
+    def delete(self, row):
+        for function, (old, *_) in sorted(self.units.items(), key=lambda u: str(u[0])):
+            yield {"outcome": "gone", "function": function, "old": old}
+        self.stamp, self.marker, self.units = None, NO_MARKER, {}
         yield {"outcome": "deleted"}
 
-    def _other(self, row):
+    def other(self, row):
         yield {"outcome": "unknown", "function": row.function}
 
 

@@ -1,7 +1,6 @@
 """Who can call a function: edges, closures and the openings that keep "every caller" from being a claim.
 
-Edges are a table (tu, caller, callee). Recursion is a loop of joins over new pairs only; each round is written by
-`checkpoint` where the session has a folder for it, so that its plan does not grow.
+Edges are a table (tu, caller, callee).
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clang
+from . import reachability
 
 
 def edges(units: DataFrame) -> DataFrame:
@@ -31,30 +31,10 @@ def external_callers(definitions: DataFrame, sources: DataFrame) -> DataFrame:
     return edges(rows).where("caller <> callee").select("tu", "callee", "caller").distinct()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        spark.sparkContext.setCheckpointDir(root)
-        return df.checkpoint()
-    return df.persist()
-
-
 def self_reachable(edge: DataFrame, by: str = "tu", asked: DataFrame | None = None) -> DataFrame:
-    """H4. by, name: functions that can come back to themselves, through others too. asked (by, name) narrows the question.
-
-    Pairs (start, end) grow by one edge a round; a round joins the pairs that were new only. Only functions on some
-    way into and out of others are started from.
-    """
-    step = edge.select(by, F.col("caller").alias("a"), F.col("callee").alias("b")).distinct()
-    callees = step.select(by, F.col("b").alias("a")).distinct()
-    starts = step.join(callees, [by, "a"], "left_semi") if asked is None else step.join(asked.select(by, F.col("name").alias("a")), [by, "a"], "left_semi")
-    seen = new = _kept(starts.select(by, F.col("a").alias("start"), F.col("b").alias("at")).distinct())
-    while not new.isEmpty():
-        ahead = new.where("start <> at").join(step.withColumnsRenamed({"a": "at", "b": "next"}), [by, "at"])
-        new = _kept(ahead.select(by, "start", F.col("next").alias("at")).distinct().join(seen, [by, "start", "at"], "left_anti"))
-        seen = seen.unionByName(new)
-    return seen.where("start = at").select(by, F.col("start").alias("name")).distinct()
+    """H4. by, name: functions that can come back to themselves, through others too. asked (by, name) narrows the answer."""
+    found = reachability.on_cycles(edge.select(by, F.col("caller").alias("a"), F.col("callee").alias("b")), by)
+    return found if asked is None else found.join(asked.select(by, "name").distinct(), [by, "name"], "left_semi")
 
 
 def address_escapes(tree: DataFrame) -> DataFrame:
@@ -108,11 +88,11 @@ def open_caller_checks(found: DataFrame, source: Column) -> DataFrame:
     """H3. Checks of openings (callee, kind, site): caller, outcome, detail, rank (their fixed order)."""
     f = F.col("callee")
     words = {
-        "foreign": ("unchecked", F.concat(F.lit("defined outside "), source, F.lit(", so the gate cannot enumerate it as a unit or build a harness for it"))),
-        "escaped": ("unresolved", F.concat(F.lit("names "), f, F.lit("() outside a direct call — an address taken, or an attribute such as a cleanup handler — so a call path the enumeration cannot follow may reach it from anywhere in this translation unit"))),
-        "aliased": ("unresolved", F.concat(F.lit("is another name for "), f, F.lit("() (an alias attribute or a shared assembly label), and a call written through it references only that name, so its callers are not in the set that was checked"))),
-        "implicit": ("unresolved", F.concat(F.lit("carries a "), F.col("site"), F.lit(" attribute, so the loader invokes "), f, F.lit("() directly at load/unload time, supplying none of the arguments any explicit call site in this translation unit does"))),
-        "asm": ("unresolved", F.concat(F.lit("contains or is named by GNU inline assembly that may invoke "), f, F.lit("() by a path that leaves no reference for the enumeration to follow"))),
+        "foreign": ("unchecked", F.concat(F.lit("calls it from a file other than "), source, F.lit(", where no unit is listed and no harness is built"))),
+        "escaped": ("unresolved", F.concat(F.lit("takes "), f, F.lit("() as a value, so it may be called from any place that value reaches"))),
+        "aliased": ("unresolved", F.concat(F.lit("is a second name of "), f, F.lit("(); whoever calls that name was not asked"))),
+        "implicit": ("unresolved", F.concat(F.lit("is a "), F.col("site"), F.lit(": "), f, F.lit("() runs before or after main with no arguments from here"))),
+        "asm": ("unresolved", F.concat(F.lit("holds assembly that may jump to "), f, F.lit("(), which leaves no trace in the tree"))),
     }
     pick = lambda i: F.coalesce(*[F.when(F.col("kind") == k, F.lit(v[i]) if i == 0 else v[i]) for k, v in words.items()])
     rank = F.coalesce(*[F.when(F.col("kind") == k, n) for n, k in enumerate(words)])

@@ -18,27 +18,26 @@ from ..functions.arrow import batched
 from ..schemas import PARAM, UnitsUnavailable
 
 NODES = "tu string, ord int, depth int, kind string, rest string, parent int, child_index int, fn int, site string, is_callee boolean, last int"
-_NODE, _NAME = re.compile(clang.NODE), re.compile(clang.NAME)
 
 
 def _walk(tu: str, dump: str):
     """Rows of one tree: each with its parent, place among its siblings, innermost function, site and last descendant."""
     rows, stack = [], []  # stack: places in rows, root first
     for line in re.split("\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", dump or ""):
-        m = _NODE.match(line)
-        if not m:
+        found = clang.node(line)
+        if not found:
             continue
-        depth, n = len(m[1]) // 2, len(rows)
+        (depth, kind, rest), n = found, len(rows)
         while stack and rows[stack[-1]]["depth"] >= depth:
             stack.pop()
         up = stack[-1] if stack else None
         fn = next((i for i in reversed(stack) if rows[i]["kind"] == "FunctionDecl"), None)
         named = next((i for i in reversed(stack) if rows[i]["kind"] in ("FunctionDecl", "VarDecl")), None)
-        site = _NAME.search(rows[named]["rest"]) if named is not None else None
+        site = clang.name_before_type(rows[named]["rest"]) if named is not None else None
         index = 0
         if up is not None:
             index, rows[up]["children"] = rows[up]["children"], rows[up]["children"] + 1
-        row = {"tu": tu, "ord": n, "depth": depth, "kind": m[2], "rest": m[3], "parent": up, "child_index": index, "fn": fn, "site": site[1] if site else clang.FILE_SCOPE, "children": 0, "last": n}
+        row = {"tu": tu, "ord": n, "depth": depth, "kind": kind, "rest": rest, "parent": up, "child_index": index, "fn": fn, "site": site or clang.FILE_SCOPE, "children": 0, "last": n}
         # The callee of a direct call: the first child of a call, or of a wrapper that is a callee's place itself.
         above = rows[up] if up is not None else None
         row["callee_place"] = above is not None and index == 0 and (above["kind"] == "CallExpr" or (above["kind"] in clang.CALLEE_WRAPPERS and above["callee_place"]))
@@ -140,12 +139,19 @@ def with_extents(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def nearest(candidates: DataFrame, wanted: DataFrame, key: str, line: str = "line", wanted_line: str = "def_line") -> DataFrame:
-    """D8. Per wanted (key, wanted_line) the candidate (key, line, physical and any others) at or behind it that is nearest, else the nearest before it; of two the later in the file. An aggregate, not a sort."""
-    both = candidates.join(wanted, key)
-    at, to = F.col(line), F.col(wanted_line)
+    """D8. Per wanted (key, wanted_line) the candidate (key, line, physical and any others) at or behind it that is nearest, else the nearest before it; of two the later in the file.
+
+    Candidates and wanted lines of a key are sorted together, and each wanted line takes the last candidate that was passed, from
+    either end: no candidate meets a line that is not beside it. Sorts a key's rows, which spills.
+    """
     whole = F.struct(*[c for c in candidates.columns if c != key])
-    best = both.groupBy(key, wanted_line).agg(F.min_by(whole, F.struct((at < to).alias("before"), F.abs(at - to).alias("far"), (-F.col("physical")).alias("p"))).alias("c"))
-    return best.select(key, wanted_line, "c.*")
+    best = candidates.groupBy(key, F.col(line).alias("__at")).agg(F.max_by(whole, "physical").alias("c"))
+    asked = wanted.select(key, F.col(wanted_line).alias("__at")).distinct().withColumn("c", F.lit(None).cast(best.schema["c"].dataType))
+    passed = lambda *order: F.last("c", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    is_asked = F.col("c").isNull()
+    rows = best.unionByName(asked).withColumns({"__behind": passed(F.desc("__at"), is_asked), "__before": passed("__at", ~is_asked)})
+    found = rows.where(is_asked).select(key, F.col("__at").alias(wanted_line), F.coalesce("__behind", "__before").alias("c"))
+    return found.where("c is not null").select(key, wanted_line, "c.*")
 
 
 def presumed(lines: DataFrame, marks: DataFrame, key: str) -> DataFrame:

@@ -112,11 +112,15 @@ def e7(states):
     return traces.inputs(traces.steps(_traces(states), "user_id"), "user_id").select("user_id", "symbol", "value")
 
 
-@query("n20_counterexample_json", S, f"SELECT user_id, count(*) AS n_steps FROM states WHERE {_GOOD} GROUP BY user_id")
+_CEX = """to_json({'steps': list({'number': CAST(event_id AS INT), 'loc': {'file': 'dir/f ' || user_id || '.c', 'line': event_id % 90, 'column': event_id % 7, 'function': CASE WHEN event_id % 3 > 0 THEN 'g' || event_id % 3 END},
+    'assignments': [{'lhs': 'v' || event_id % 5 || '$' || event_id || '[1].x', 'value': CAST(k AS VARCHAR), 'binary': CASE WHEN event_id % 2 = 0 THEN '0101 1010' END}, {'lhs': 'w', 'value': '(char *)0 = q', 'binary': NULL}]} ORDER BY event_id),
+    'violated_property': {'loc': {'file': 'a.c', 'line': 3, 'column': 4, 'function': 'h'}, 'description': 'text of it', 'expression': CASE WHEN user_id % 2 = 0 THEN 'x > 0' END, 'cwe': ['CWE-1', 'CWE-' || user_id]}})"""
+
+
+@query("n20_counterexample_json", S, f"SELECT user_id, CAST({_CEX} AS VARCHAR) AS json FROM states WHERE {_GOOD} GROUP BY user_id")
 def n20(states):
     rows = _traces(states).where("counterexample is not null").withColumns({"verdict": F.lit("violated"), "esbmc_version": F.lit("8"), "argv": F.array(F.lit("e")), "duration_s": F.lit(1.0), "reason": F.lit(None).cast("string"), "message": F.lit(None).cast("string")})
-    json = traces.result_json()
-    return rows.select("user_id", F.size(F.from_json(json, "counterexample struct<steps:array<struct<number:int>>>")["counterexample"]["steps"]).cast("long").alias("n_steps"))
+    return rows.select("user_id", F.get_json_object(traces.result_json(), "$.counterexample").alias("json"))
 
 
 DOCS = Relation("SELECT doc_id, lang, source, 'src/' || coalesce(source, 'none') || '/f' || CAST(doc_id % 50 AS {str}) || CASE doc_id % 6 WHEN 0 THEN '.c' WHEN 1 THEN '.C' WHEN 2 THEN '.h' WHEN 3 THEN '.py' WHEN 4 THEN '.txt' ELSE '' END AS path, 'src/' || coalesce(source, 'none') || '.c::fn' || CAST(doc_id % 50 AS {str}) AS unit_id, coalesce(text, '') AS text FROM {documents}")

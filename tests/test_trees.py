@@ -123,7 +123,7 @@ def test_signatures_and_harness():
     assert [text.index(x) for x in order] == sorted(text.index(x) for x in order)
     assert "dereferences" in harness.reason_against(found, "*out > 0", [])
     assert "output parameter" in harness.reason_against(found, "result > 0", ["out > 0"])
-    assert "split it" in harness.reason_against(found, "result > 0", ["a[0] > 0 && n > 0"])
+    assert "domain entry of its own" in harness.reason_against(found, "result > 0", ["a[0] > 0 && n > 0"])
     assert harness.reason_against(found, " ", []) == "semantic property has an empty postcondition"
     with pytest.raises(HarnessError):
         ctext.extract_signature("int f(int *a, int *b) { return 0; }", "f")

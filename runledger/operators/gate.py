@@ -190,3 +190,9 @@ def attempts_in_session(stops: DataFrame, session: str, order: str) -> DataFrame
     edits = F.sum(F.coalesce(F.col("type") == "edit", F.lit(False)).cast("int")).over(w)
     rows = stops.withColumn("__island", edits)
     return rows.withColumn("stop_attempts", F.sum((F.col("type") == "stop").cast("int")).over(Window.partitionBy(session, "__island").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))).drop("__island")
+
+
+def baselined(entries: Column, rel: str) -> Column:
+    """N18. The contents that a baseline document (JSON text: path to list of digests) holds of a path; none where the document or the entry is malformed."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.from_json(entries, "map<string,array<string>>")[rel], none)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checker
-from ..schemas import OUTCOMES
+from ..schemas import EXIT_CODES, OUTCOMES
 
 
 def _inconclusive(verdict: str = "verdict") -> Column:
@@ -171,3 +171,15 @@ def gate_said(counts: DataFrame) -> DataFrame:
 def gate_counters(rows: DataFrame, by: list[str]) -> DataFrame:
     """E5, N13. Per gate run the failures, the units that wait for a contract, the decision and the process status."""
     return gate_said(rows.groupBy(*by).agg(*gate_counts()))
+
+
+def with_exit_code(rows: DataFrame, codes: DataFrame, verdict: str = "verdict", otherwise: int = EXIT_CODES["error"]) -> DataFrame:
+    """D14. rows with the process status of their verdict (codes: a few rows of verdict, exit_code); a null or foreign verdict has that of an error."""
+    known = F.broadcast(codes.select(F.col("verdict").alias(verdict), "exit_code"))
+    return rows.join(known, verdict, "left").withColumn("exit_code", F.coalesce("exit_code", F.lit(otherwise)))
+
+
+def least_by(rows: DataFrame, unit: str, order: list[Column], keep: tuple[str, ...]) -> DataFrame:
+    """G4. Per unit the columns kept of the row that is first along several keys."""
+    at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    return rows.groupBy(unit).agg(F.min_by(F.struct(*keep), at).alias("m")).select(unit, "m.*")

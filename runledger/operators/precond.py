@@ -258,3 +258,9 @@ def discharge(units: DataFrame, folded: DataFrame, found: DataFrame) -> DataFram
     a = F.when(~assumed, F.col("assessment")).when(F.col("n_pointers") == 0, "discharged_verified").when(F.col("__any").isNull(), "assumed_verified").otherwise(F.coalesce("__a", F.lit("assumed_verified")))
     d = F.when(~assumed, F.col("detail")).when(F.col("n_pointers") == 0, none).when(F.col("__any").isNull(), alone).otherwise(F.coalesce("__d", F.lit("discharge incomplete — no check of a caller")))
     return rows.select("name", a.alias("assessment"), d.alias("detail"))
+
+
+def with_anchored(callers: DataFrame, anchored: DataFrame, key: list[str]) -> DataFrame:
+    """D16. callers, each with whether its own precondition holds unconditionally (anchored: their keys)."""
+    known = anchored.select(*key).distinct().withColumn("anchored", F.lit(True))
+    return callers.drop("anchored").join(known, key, "left").withColumn("anchored", F.coalesce("anchored", F.lit(False)))

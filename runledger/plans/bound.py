@@ -77,7 +77,7 @@ def e2_all(runs):
 @query("d14_exit_codes", R, "SELECT event_id, CASE verdict WHEN 'verified' THEN 0 WHEN 'violated' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END AS exit_code FROM runs")
 def d14(runs):
     codes = runs.sparkSession.createDataFrame(list(EXIT_CODES.items()), "verdict string, exit_code int")
-    return runs.join(F.broadcast(codes), "verdict", "left").select("event_id", F.coalesce("exit_code", F.lit(EXIT_CODES["error"])).alias("exit_code"))
+    return ladders.with_exit_code(runs, codes).select("event_id", "exit_code")
 
 
 @query("e4_semantic_summary", R, "SELECT batch, count(*) FILTER (WHERE outcome = 'violated') AS n_violations, count(*) FILTER (WHERE outcome IN ('unknown', 'error')) AS n_unresolved, count(*) FILTER (WHERE outcome = 'skipped') AS n_skipped, count(*) FILTER (WHERE outcome IN ('violated', 'unknown', 'error', 'skipped')) = 0 AS empty FROM runs GROUP BY batch")
@@ -177,8 +177,7 @@ def g3(runs):
 
 @query("g4_arg_min", R, "SELECT user_id, arg_min(event_id, row(k < 10, abs(k - 10), -event_id)) AS event_id FROM runs GROUP BY user_id")
 def g4(runs):
-    key = F.struct((F.col("k") < 10).alias("before"), F.abs(F.col("k") - 10).alias("far"), (-F.col("event_id")).alias("late"))
-    return runs.groupBy("user_id").agg(F.min_by("event_id", key).alias("event_id"))
+    return ladders.least_by(runs, "user_id", [F.col("k") < 10, F.abs(F.col("k") - 10), -F.col("event_id")], ("event_id",))
 
 
 LOOPS = Relation(
@@ -245,11 +244,11 @@ def j21(runs):
 
 
 @query("j22_parse_ladder", R, """WITH t AS (SELECT event_id, k, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '4, 8,16' WHEN 2 THEN '4,x' ELSE k || ',' || (k + 5) END AS text FROM runs)
-    SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 3 THEN 2 END AS n, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN CAST(4 > k AS INT) + CAST(8 > k AS INT) + CAST(16 > k AS INT) WHEN 3 THEN 1 END AS n_above FROM t""")
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '4,8,16' WHEN 3 THEN text END AS rungs, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN array_to_string(list_filter([4, 8, 16], lambda x: x > k), ',') WHEN 3 THEN CAST(k + 5 AS VARCHAR) END AS above FROM t""")
 def j22(runs):
     text = F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 1, "4, 8,16").when(F.col("event_id") % 4 == 2, "4,x").otherwise(F.concat_ws(",", F.col("k").cast("string"), (F.col("k") + 5).cast("string")))
-    null_size = lambda c: F.when(c.isNotNull(), F.size(c))
-    return runs.select("event_id", null_size(checker.parse_ladder(text)).alias("n"), null_size(checker.parse_ladder(text, F.col("k"))).alias("n_above"))
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return runs.select("event_id", joined(checker.parse_ladder(text)).alias("rungs"), joined(checker.parse_ladder(text, F.col("k"))).alias("above"))
 
 
 @query("j20_command_line", R, """SELECT event_id, 'esbmc f.c --unwind ' || k || ' --no-unwinding-assertions -DX' || CASE WHEN event_id % 2 = 0 THEN ' --function f' || user_id ELSE '' END || CASE WHEN event_id % 3 > 0 THEN ' --timeout ' || greatest(1, CAST(ceil(k / 4.0) AS BIGINT)) || 's' ELSE '' END AS argv FROM runs""")
@@ -313,9 +312,8 @@ def e3(probes):
 
 @query("d16_anchored_callers", P, "SELECT user_id, count(*) FILTER (WHERE anchored) AS n_anchored, bool_and(anchored) AS all_anchored FROM probes GROUP BY user_id")
 def d16(probes):
-    anchored = probes.where("anchored").select("event_id")
-    rows = probes.join(anchored.withColumn("a", F.lit(True)), "event_id", "left").withColumn("a", F.coalesce("a", F.lit(False)))
-    return rows.groupBy("user_id").agg(F.count(F.when(F.col("a"), 1)).alias("n_anchored"), F.bool_and("a").alias("all_anchored"))
+    rows = precond.with_anchored(probes, probes.where("anchored"), ["event_id"])
+    return rows.groupBy("user_id").agg(F.count(F.when(F.col("anchored"), 1)).alias("n_anchored"), F.bool_and("anchored").alias("all_anchored"))
 
 
 @query("n12_check_status", R, """WITH c AS (SELECT event_id, k % 4 AS n, CAST(k * 5 AS DOUBLE) AS budget, CAST(event_id % 90 AS DOUBLE) AS took, event_id % 5 > 0 AS ok, greatest(k % 4, 1) * 25.0 + 10.0 AS own FROM runs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cexpr, checker, names
-from ..operators import candidates, gate, traces, units
+from ..operators import candidates, gate, traces, units, verify
 from ..sources import readers
 from .base import Relation, query
 
@@ -47,11 +47,22 @@ def e11(output):
     return output.where("stdout is not null").select("doc_id", checker.traces_in(F.col("stdout")).alias("n"))
 
 
-@query("r4_result_rows", O, f"SELECT {_VERDICT} AS verdict, count(*) AS n, count(*) AS n_ok FROM output GROUP BY 1")
+@query("r4_result_rows", O, f"SELECT doc_id, {_VERDICT} AS verdict, CASE doc_id % 13 WHEN 3 THEN 'timeout' WHEN 4 THEN 'memout' WHEN 5 THEN 'unclassified' END AS reason, {_VERDICT} = 'error' AS has_message, {_VERDICT} = 'violated' AS has_trace, true AS ok FROM output")
 def r4(output):
     from ..schemas import payload_ok
 
-    return traces.classified(output).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(payload_ok(), 1)).alias("n_ok"))
+    return traces.classified(output).select("doc_id", "verdict", "reason", F.col("message").isNotNull().alias("has_message"), F.col("raw_counterexample").isNotNull().alias("has_trace"), payload_ok().alias("ok"))
+
+
+@query("n4_verified_sources", O, f"""SELECT doc_id AS run_id, CASE WHEN doc_id % 4 = 0 THEN '/else/f.c' ELSE 'src/f.c' END || '::f' || doc_id % 3 AS unit_id, 'esbmc f.c --unwind 4 --force-malloc-success -I. --function f' || doc_id % 3 || ' --timeout 30s' AS argv,
+    CASE WHEN doc_id % 17 = 0 THEN 'error' ELSE {_VERDICT} END AS verdict FROM output""")
+def n4(output):
+    path = F.when(F.col("doc_id") % 4 == 0, "/else/f.c").when(F.col("doc_id") % 4 == 1, "src/../src/./f.c").otherwise("/home/p/src/f.c")
+    function = F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string"))
+    rows = output.select(F.col("doc_id").alias("run_id"), verify.unit_id(F.lit("/home/p/"), path, function).alias("unit_id"), F.lit("f.c").alias("source"), function.alias("function"), F.lit(4).alias("k"), F.array(F.lit("-I.")).alias("extra"))
+    captured = output.where("doc_id % 17 <> 0").select(F.col("doc_id").alias("run_id"), "stdout", "stderr", "exit_code")
+    found = verify.verified(rows, lambda asked: readers.recorded(asked, captured, ["run_id"]), sidecar=True)
+    return found.select("run_id", "unit_id", F.array_join("argv", " ").alias("argv"), "verdict")
 
 
 @query("b9_result_json", O, f"""SELECT doc_id, '{{"verdict":"' || {_VERDICT} || '","esbmc_version":"' || CASE doc_id % 13 WHEN 0 THEN '7.' || doc_id WHEN 10 THEN '8.1' ELSE '' END || '","argv":["esbmc"],"duration_s":0.5' || CASE doc_id % 13 WHEN 0 THEN '' WHEN 3 THEN ',"reason":"timeout"' WHEN 4 THEN ',"reason":"memout"' WHEN 5 THEN ',"reason":"unclassified"'
@@ -262,9 +273,9 @@ def j19(docs):
 
 @query("l7_prompt_registry", D, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'semantic/v1' WHEN doc_id % 3 = 1 THEN 'semantic/v2' END AS ref FROM docs")
 def l7(docs):
-    prompts = docs.sparkSession.createDataFrame([("semantic", "1"), ("semantic", "2")], "prompt_id string, version string")
-    wanted = docs.withColumn("version", (F.col("doc_id") % 3 + 1).cast("string"))
-    return wanted.join(F.broadcast(prompts), "version", "left").select("doc_id", F.when(F.col("prompt_id").isNotNull(), F.concat("prompt_id", F.lit("/v"), "version")).alias("ref"))
+    prompts = docs.sparkSession.createDataFrame(list(candidates.PROMPTS), "prompt_id string, version string")
+    wanted = docs.withColumns({"prompt_id": F.lit("semantic"), "version": (F.col("doc_id") % 3 + 1).cast("string")})
+    return candidates.prompt_refs(wanted, prompts).select("doc_id", "ref")
 
 
 @query("a12_patched_sources", D, "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'm.py,' || path WHEN 2 THEN 'm.py,' || path WHEN 3 THEN 'm.py,' || path ELSE 'm.py' END AS paths FROM docs")

@@ -147,3 +147,9 @@ def recorded(requests: DataFrame, captured: DataFrame, key: list[str]) -> DataFr
 def fixes(requests: DataFrame, recorded_fixes: DataFrame) -> DataFrame:
     """L2. The recorded fix of each violated source (source, text), null where there is none."""
     return requests.join(recorded_fixes.select("source", F.col("text").alias("fixed_text")), "source", "left")
+
+
+def guarded(rows: DataFrame, text: str, guards: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """C11. (rows whose JSON payload has the types asked for, the others with reject_reason). guards: reason to (path, how the type's name begins)."""
+    typed = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+    return schemas.reject(rows, {reason: typed(path).startswith(kind) for reason, (path, kind) in guards.items()})

@@ -24,8 +24,13 @@ def _group(text: Column, pattern: str, n: int) -> Column:
     return F.regexp_extract(text, pattern, n)
 
 
-def _loc(text: Column, pattern: str, first: int) -> Column:
-    part = lambda i: _group(text, pattern, first + i)
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The first n groups of a whole line, by one match; a line holds no line break that could be taken for the one between groups."""
+    return F.split(F.regexp_replace(text, pattern, "\n".join(f"${i}" for i in range(1, n + 1))), "\n")
+
+
+def _loc(groups: Column, first: int) -> Column:
+    part = lambda i: F.get(groups, F.lit(first + i))
     return F.struct(part(0).alias("file"), part(1).try_cast("int").alias("line"), part(2).try_cast("int").alias("column"), F.nullif(part(3), F.lit("")).alias("function"))
 
 
@@ -41,7 +46,8 @@ def _assignment(body: Column) -> Column:
 def parse(raw: Column) -> Column:
     """F11, J7, N15. A counterexample (see schemas.COUNTEREXAMPLE) or null: for several traces in one text, for none, and for a property without place."""
     plain = lambda x: checker.strip(x)
-    is_state = lambda x: plain(x).rlike(STATE)
+    # A plain search first: most lines are no header, and blanks at the ends of a line cost a regular expression to take off.
+    is_state = lambda x: x.contains("State ") & plain(x).rlike(STATE)
     opens = lambda x: is_state(x) | x.startswith(VIOLATED)
 
     def blocks_of(every):
@@ -51,10 +57,10 @@ def parse(raw: Column) -> Column:
         return checker.let(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: F.slice(every, a, b - a)))
 
     def step(block):
-        head = plain(F.get(block, F.lit(0)))
-        body = F.transform(F.slice(block, F.lit(2), F.size(block)), plain)
+        body = F.transform(F.filter(F.slice(block, F.lit(2), F.size(block)), lambda x: x.contains(" = ")), plain)
         found = F.filter(body, lambda x: x.contains(" = ") & ~x.rlike("^-*$"))
-        return F.struct(_group(head, STATE, 1).try_cast("int").alias("number"), _loc(head, STATE, 2).alias("loc"), F.transform(found, _assignment).alias("assignments"))
+        made = lambda head: F.struct(F.get(head, F.lit(0)).try_cast("int").alias("number"), _loc(head, 1).alias("loc"), F.transform(found, _assignment).alias("assignments"))
+        return checker.let(_groups(plain(F.get(block, F.lit(0))), STATE, 5), made)
 
     def violated(block):
         place = F.get(block, F.lit(1))
@@ -66,7 +72,7 @@ def parse(raw: Column) -> Column:
         numbers = F.try_element_at(F.filter(inside, lambda x: x.startswith(CWE)), F.lit(-1))
         cwe = F.filter(F.transform(F.split(F.substring(numbers, 5, 1 << 30), ","), plain), lambda x: x != "")
         prop = F.struct(
-            _loc(place, PLACE, 1).alias("loc"), F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("description"), F.get(words, F.lit(1)).alias("expression"),
+            checker.let(_groups(place, PLACE, 4), lambda at: _loc(at, 0)).alias("loc"), F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("description"), F.get(words, F.lit(1)).alias("expression"),
             F.coalesce(cwe, F.array().cast("array<string>")).alias("cwe"),
         )
         return F.when(F.coalesce(place.rlike(PLACE), F.lit(False)), prop)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
-from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +29,32 @@ def log_events(rows: DataFrame, folder: str) -> bool:
         return False
 
 
-def write_document(path: str, value: dict) -> None:
-    """B5. One JSON document on the driver's file system, whole or not at all; an existing file keeps its mode."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    spare = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, local or of a store that pyarrow knows, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _put(system: fs.FileSystem, path: str, content: bytes) -> None:
+    """A whole file or none: written beside its place under a name of its own, then moved there."""
+    folder, _, name = path.rpartition("/")
+    spare = f"{folder}/.{name}.{uuid.uuid4().hex}"
     try:
-        spare.write_text(json.dumps(value, indent=2, sort_keys=True))
-        if target.exists():
-            os.chmod(spare, target.stat().st_mode & 0o7777)
-        os.replace(spare, target)
-    finally:
-        spare.unlink(missing_ok=True)
+        with system.open_output_stream(spare) as out:
+            out.write(content)
+        if isinstance(system, fs.LocalFileSystem) and os.path.exists(path):
+            shutil.copymode(path, spare)
+        system.move(spare, path)
+    except BaseException:
+        if system.get_file_info(spare).type != fs.FileType.NotFound:
+            system.delete_file(spare)
+        raise
+
+
+def write_document(path: str, value: dict) -> None:
+    """B5. One JSON document, whole or not at all; a local file that is there keeps its mode."""
+    system, place = _store(path)
+    system.create_dir(place.rpartition("/")[0], recursive=True)
+    _put(system, place, json.dumps(value, indent=2, sort_keys=True).encode())
 
 
 def state_document(tables: dict[str, DataFrame]) -> dict:
@@ -53,22 +68,27 @@ def state_document(tables: dict[str, DataFrame]) -> dict:
     return {"units": units, "scanned": {k: v["digest"] for k, v in keyed("scanned", "rel").items()}, "pending": keyed("pending", "rel"), "baseline_blobs": blobs, **scalars.asDict()}
 
 
-def write_texts(rows: DataFrame, folder: str, name: str = "name", text: str = "text", exclusive: bool = False) -> None:
-    """B6. One file per row in a folder that driver and executors share; with exclusive, a file that exists is an error. A task tried again writes the same bytes."""
+def write_texts(rows: DataFrame, folder: str, name: str = "name", text: str = "text", exclusive: bool = False) -> int:
+    """B6. One file per row in a folder that driver and executors share; returns how many. With exclusive, a file of other content is an error.
+
+    A task that is tried again writes the same bytes in the same place, so each name ends with one whole file.
+    """
+    system, root = _store(folder)
+    system.create_dir(root, recursive=True)
 
-    def put(pdf_iter):
-        for pdf in pdf_iter:
-            os.makedirs(folder, exist_ok=True)
+    def put(frames):
+        own, top = _store(folder)
+        for pdf in frames:
             for n, t in zip(pdf[name], pdf[text], strict=True):
-                path = Path(folder) / n
-                if exclusive and path.exists() and path.read_text() != t:
-                    raise FileExistsError(str(path))
-                spare = path.with_name(f".{n}.{uuid.uuid4().hex}")
-                spare.write_text(t)
-                os.replace(spare, path)
+                path, content = f"{top.rstrip('/')}/{n}", t.encode()
+                if exclusive and own.get_file_info(path).type == fs.FileType.File:
+                    with own.open_input_file(path) as there:
+                        if there.read() != content:
+                            raise FileExistsError(path)
+                _put(own, path, content)
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    rows.select(name, text).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    return rows.select(name, text).mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def fix_names(rows: DataFrame, stem: str, order: list[str], first: int = 1) -> DataFrame:

@@ -193,6 +193,11 @@ def test_texts_records_and_ports(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.c", "b.c"]
     with pytest.raises(Exception, match="FileExistsError"):
         sinks.write_texts(rows.withColumn("text", F.lit("other")), out, exclusive=True)
+    remote = f"file://{tmp_path}/remote"
+    assert sinks.write_texts(rows.repartition(2), remote) == 2 and sinks.write_texts(rows.limit(0), remote) == 0
+    assert {p.name: p.read_text() for p in (tmp_path / "remote").iterdir()} == {"a.c": "one", "b.c": "two"}
+    sinks.write_document(f"{remote}/doc.json", {"a": 1})
+    assert (tmp_path / "remote" / "doc.json").read_text() == '{\n  "a": 1\n}'
     records = spark.createDataFrame([("a.c::f", 1), ("a.c::f", 2), ("b.c::g", 3)], "unit string, n int")
     sinks.append_records(records, str(tmp_path / "runs"))
     sinks.append_records(records, str(tmp_path / "runs"))

@@ -31,9 +31,9 @@ def external_callers(definitions: DataFrame, sources: DataFrame) -> DataFrame:
     return edges(rows).where("caller <> callee").select("tu", "callee", "caller").distinct()
 
 
-def self_reachable(edge: DataFrame, by: str = "tu", asked: DataFrame | None = None) -> DataFrame:
+def self_reachable(edge: DataFrame, by: str = "tu", asked: DataFrame | None = None, small: int = reachability.SMALL) -> DataFrame:
     """H4. by, name: functions that can come back to themselves, through others too. asked (by, name) narrows the answer."""
-    found = reachability.on_cycles(edge.select(by, F.col("caller").alias("a"), F.col("callee").alias("b")), by)
+    found = reachability.on_cycles(edge.select(by, F.col("caller").alias("a"), F.col("callee").alias("b")), by, small)
     return found if asked is None else found.join(asked.select(by, "name").distinct(), [by, "name"], "left_semi")
 
 

@@ -1,6 +1,7 @@
 """H4. Functions that can come back to themselves, in rounds that grow with the logarithm of a chain's length, and without a table of pairs.
 
-A call graph is mostly chains and trees, so it is taken down before anything is searched in it. A phase cuts off what has no
+The graph of one translation unit is mostly small, and then searched whole in one task. A larger one is mostly chains and trees, so it is
+taken down before anything is searched in it. A phase cuts off what has no
 way in or no way out, which is on no cycle, and puts one edge in place of each chain: of functions with one caller and
 one callee. Chains are found by doubling: each function points at the next of its chain, then at that one's
 target, until it points at the last. What is left in the end has a branch at every function; there, colours are carried
@@ -16,23 +17,30 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil, log2
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.shared import kept
 
+#: Edges of a graph that one task takes whole: some 20 MB.
+SMALL = 100_000
 
-def _trimmed(step: DataFrame, by: str) -> DataFrame:
-    """Edges whose caller is called and whose callee calls."""
-    calls, called = step.select(by, F.col("a").alias("b")).distinct(), step.select(by, F.col("b").alias("a")).distinct()
-    return step.join(calls, [by, "b"], "left_semi").join(called, [by, "a"], "left_semi").select(by, "a", "b")
 
+def _degrees(step: DataFrame, by: str) -> DataFrame:
+    """Functions with the numbers of their callers and callees, and one of each: by, v, n_in, n_out, prev, next."""
+    none = F.lit(None).cast("string")
+    out = step.select(by, F.col("a").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("b").alias("next"), none.alias("prev"))
+    into = step.select(by, F.col("b").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i"), none.alias("next"), F.col("a").alias("prev"))
+    whole = out.unionByName(into).groupBy(by, "v")
+    return kept(whole.agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.max("prev").alias("prev"), F.max("next").alias("next")), "degrees")
 
-def _inner(step: DataFrame, by: str) -> DataFrame:
-    """Functions with one caller and one callee: by, v, prev, next."""
-    out = step.groupBy(by, F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("next")).where("n = 1").drop("n")
-    into = step.groupBy(by, F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("prev")).where("n = 1").drop("n")
-    return out.join(into, [by, "v"])
+
+def _without(step: DataFrame, names: DataFrame, by: str) -> DataFrame:
+    """Edges that no function of names (by, v) is at either end of."""
+    gone = lambda end: names.select(by, F.col("v").alias(end))
+    return step.join(gone("a"), [by, "a"], "left_anti").join(gone("b"), [by, "b"], "left_anti").select(by, "a", "b")
 
 
 def _doubled(to: DataFrame, by: str) -> DataFrame:
@@ -55,12 +63,17 @@ def _chains(inner: DataFrame, by: str, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _spread(seeds: DataFrame, step: DataFrame, by: str) -> DataFrame:
-    """Colours (by, v, c) carried along edges to their ends until none is greater than what is there."""
+    """Colours (by, v, c) carried along edges to their ends until none is greater than what is there; two edges a round."""
+    seeds, ahead = seeds.select(by, "v", "c"), step.select(by, F.col("a").alias("v"), "b")
+
+    def on(colours):
+        sent = colours.join(ahead, [by, "v"]).select(by, F.col("b").alias("v"), "c", F.lit(None).cast("string").alias("had"))
+        return colours.select(by, "v", "c", "had").unionByName(sent).groupBy(by, "v").agg(F.max("c").alias("c"), F.max("had").alias("had"))
+
     while True:
-        sent = seeds.join(step.select(by, F.col("a").alias("v"), "b"), [by, "v"]).select(by, F.col("b").alias("v"), "c")
-        seeds, before = kept(seeds.unionByName(sent).groupBy(by, "v").agg(F.max("c").alias("c")), "colours"), seeds
-        if seeds.join(before, [by, "v", "c"], "left_anti").isEmpty():
-            return seeds
+        seeds = kept(on(on(seeds.withColumn("had", F.col("c")))), "colours")
+        if seeds.where("had is null or c > had").isEmpty():
+            return seeds.drop("had")
 
 
 def _components(step: DataFrame, by: str) -> DataFrame | None:
@@ -82,27 +95,82 @@ def _components(step: DataFrame, by: str) -> DataFrame | None:
     return found
 
 
-def on_cycles(edges: DataFrame, by: str) -> DataFrame:
-    """by, name: functions on a cycle of edges (by, a, b), those that call themselves too. Rows with a null name or key are on none."""
+def _cyclic(edges: list[tuple[str, str]]) -> list[str]:
+    """Functions on a cycle of one small graph: in a component of several, or calling themselves (depth first, with a stack of its own)."""
+    ahead: dict[str, list[str]] = {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+    found, place, low, open_, path = {a for a, b in edges if a == b}, {}, {}, set(), []
+    for root in ahead:
+        work = [(root, iter(ahead[root]))] if root not in place else []
+        while work:
+            at, rest = work[-1]
+            if at not in place:
+                place[at] = low[at] = len(place)
+                path.append(at)
+                open_.add(at)
+            for to in rest:
+                if to not in place:
+                    work.append((to, iter(ahead.get(to, ()))))
+                    break
+                if to in open_:
+                    low[at] = min(low[at], place[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == place[at]:
+                    own = _above(path, at)
+                    open_.difference_update(own)
+                    if len(own) > 1:
+                        found.update(own)
+    return sorted(found)
+
+
+def _above(path: list[str], at: str) -> list[str]:
+    """The end of a stack from a function on, taken off."""
+    own = [path.pop()]
+    while own[-1] != at:
+        own.append(path.pop())
+    return own
+
+
+def on_cycles(edges: DataFrame, by: str, small: int = SMALL) -> DataFrame:
+    """by, name: functions on a cycle of edges (by, a, b), those that call themselves too. Rows with a null name or key are on none.
+
+    Graphs of `small` edges at most are taken whole, each in one call; only larger ones need rounds. Both give the same.
+    """
     whole = kept(edges.select(by, "a", "b").dropna().distinct(), "edges")
+    large = kept(whole.groupBy(by).count().where(F.col("count") > small).select(by), "large")
+    schema = StructType([whole.schema[by], StructField("name", StringType())])
+
+    def one(key, pdf):
+        return pd.DataFrame([(key[0], name) for name in _cyclic(list(zip(pdf["a"], pdf["b"], strict=True)))], columns=[by, "name"])
+
+    found = whole.join(large, by, "left_anti").groupBy(by).applyInPandas(one, schema)
+    return found if large.isEmpty() else found.unionByName(_in_rounds(kept(whole.join(large, by, "left_semi").select(by, "a", "b"), "edges"), by))
+
+
+def _in_rounds(whole: DataFrame, by: str) -> DataFrame:
     found = whole.where("a = b").select(by, F.col("a").alias("name"))
-    step, phases, rings = kept(whole.where("a <> b"), "edges"), [], None
+    step, phases, rings = whole.where("a <> b"), [], None
     while True:
-        before, step = step.count(), kept(_trimmed(step, by), "edges")
-        inner = kept(_inner(step, by), "inner")
-        n = inner.count()
+        degrees = _degrees(step, by)
+        end, chained = (F.col("n_in") == 0) | (F.col("n_out") == 0), (F.col("n_in") == 1) & (F.col("n_out") == 1)
+        n_ends, n = degrees.agg(F.count(F.when(end, 1)), F.count(F.when(chained, 1))).first()
+        if not n_ends and not n:
+            break
+        rest = step
         if n:
+            inner = degrees.where(chained).select(by, "v", "prev", "next")
             member, closed = _chains(inner, by, n)
             rings = kept(closed, "rings") if rings is None else rings.unionByName(kept(closed, "rings"))
-            names = inner.select(by, "v")
-            first = inner.join(names.withColumnRenamed("v", "prev"), [by, "prev"], "left_anti").join(member, [by, "v"]).select(by, "t", F.col("prev").alias("u"))
+            first = inner.join(inner.select(by, F.col("v").alias("prev")), [by, "prev"], "left_anti").join(member, [by, "v"]).select(by, "t", F.col("prev").alias("u"))
             last = inner.select(by, F.col("v").alias("t"), F.col("next").alias("w"))
             chain = kept(first.join(last, [by, "t"]), "chains")
             phases.append((kept(member, "members"), chain))
-            rest = step.join(names.withColumnRenamed("v", "a"), [by, "a"], "left_anti").join(names.withColumnRenamed("v", "b"), [by, "b"], "left_anti").select(by, "a", "b")
-            step = kept(rest.unionByName(chain.where("u <> w").select(by, F.col("u").alias("a"), F.col("w").alias("b"))).distinct(), "edges")
-        if step.count() == before:
-            break
+            rest = _without(step, inner, by).unionByName(chain.where("u <> w").select(by, F.col("u").alias("a"), F.col("w").alias("b"))).distinct()
+        step = kept(_without(rest, degrees.where(end), by), "edges")
     known = [found_ for found_ in (_components(step, by), rings) if found_ is not None]
     labels = reduce(DataFrame.unionByName, known, whole.limit(0).select(by, F.col("a").alias("v"), F.col("a").alias("scc")))
     for member, chain in reversed(phases):

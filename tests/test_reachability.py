@@ -37,7 +37,8 @@ def test_random_graphs(spark):
     rng = random.Random(8)
     edges = [e for i in range(60) for e in graph(rng, f"g{i}")]
     df = spark.createDataFrame([*edges, (None, "x", "x"), ("g0", None, "x")], "tu string, caller string, callee string")
-    assert {tuple(r) for r in callgraph.self_reachable(df).collect()} == plain(edges)
+    for small in (0, 20, reachability.SMALL):  # all in rounds, some, none
+        assert {tuple(r) for r in callgraph.self_reachable(df, small=small).collect()} == plain(edges)
     asked = spark.createDataFrame([("g1", "n0"), ("g1", "n1"), ("g2", "no")], "tu string, name string")
     assert {tuple(r) for r in callgraph.self_reachable(df, asked=asked).collect()} == plain(edges) & {("g1", "n0"), ("g1", "n1")}
     assert callgraph.self_reachable(df.limit(0)).collect() == []
@@ -47,8 +48,9 @@ def test_a_chain_of_ten_thousand_calls_takes_few_rounds(spark, monkeypatch):
     n, rounds, doubled = 10_000, [], reachability._doubled
     monkeypatch.setattr(reachability, "_doubled", lambda *a: rounds.append(1) or doubled(*a))
     edges = [("open", f"f{i}", f"f{i + 1}") for i in range(n)] + [("ring", f"f{i}", f"f{(i + 1) % 999}") for i in range(999)]
-    found = callgraph.self_reachable(spark.createDataFrame(edges, "tu string, caller string, callee string"))
-    assert found.groupBy("tu").count().collect() == [("ring", 999)] and len(rounds) < 20
+    found = callgraph.self_reachable(spark.createDataFrame(edges, "tu string, caller string, callee string"), small=1000)
+    assert found.groupBy("tu").count().collect() == [("ring", 999)] and 10 < len(rounds) < 20
+    assert len(reachability._cyclic([(a, b) for _, a, b in edges[n:]])) == 999 and reachability._cyclic([(a, b) for _, a, b in edges[:n]]) == []
 
 
 def test_nearest_line(spark):

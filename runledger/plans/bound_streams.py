@@ -1,6 +1,6 @@
 """The keyed streams, bound to `events` and `orders`: commands are read off the rows, and the state is that of the stateful operators.
 
-An event is a command on its user's file, in order of event_id; an order row is a command on a property that up to eight
+A log of events is written and read by its bytes; edits meet verdicts in time. An event is a command on its user's file, in order of event_id; an order row is a command on a property that up to eight
 orders share. Both go through the operators whole, and their changes are written once, below spark.checkpoint.dir, and read back.
 """
 
@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import settings
+from ..sources import log_source, settings
 from ..sources.shared import new_folder
-from ..streaming import gate_state, property_store
+from ..streaming import gate_state, property_store, state
 from .base import Relation, query
 
 COMMANDS = Relation(
@@ -72,3 +72,27 @@ def b1_judged(commands):
     prop = F.struct(*[(F.col(n) if n == "unit_id" else F.lit(None)).cast(t).alias(n) for n, t in property_store.FIELDS])
     rows = commands.select("property_id", F.col("pos").cast("long").alias("at"), F.lit("call").alias("call"), "op", "status", prop.alias("property"))
     return _written(commands.sparkSession, property_store.judged(rows), property_store.OUTCOME).select("property_id", "n", F.col("at").alias("pos"), "op", "outcome", "old", "status")
+
+
+# A trace log: one line an event, some of them blank and some no JSON.
+LOGGED = Relation(
+    "SELECT CASE event_id % 10 WHEN 0 THEN 'no json ' || CAST(event_id AS {str}) WHEN 1 THEN '  ' ELSE '{{\"ts\":' || CAST(event_id AS {str}) || ',\"type\":\"' || event_type || '\",\"k\":' || CAST(coalesce({k}, 0) AS {str}) || '}}' END AS line, "
+    "event_id, event_type, coalesce({k}, 0) AS k FROM {events}"
+)
+
+
+@query("a3_log_events", {"logged": LOGGED}, "SELECT CASE WHEN event_id % 10 > 1 THEN CAST(event_id AS DOUBLE) END AS ts, CASE WHEN event_id % 10 > 1 THEN event_type END AS type, CASE WHEN event_id % 10 > 1 THEN CAST(k AS INTEGER) END AS k, CASE WHEN event_id % 10 = 0 THEN line END AS malformed FROM logged WHERE event_id % 10 <> 1")
+def a3(logged):
+    spark, folder = logged.sparkSession, new_folder(logged.sparkSession, "log")
+    logged.select("line").write.text(folder)
+    return log_source.events(log_source.lines(spark, folder)).select("ts", "type", "k", "malformed")
+
+
+EDITS = Relation("SELECT 'f' || CAST(user_id AS {str}) AS rel, 'd' || CAST(coalesce({k}, 0) % 3 AS {str}) AS digest, ts AS edited_at FROM {events} WHERE event_type IN ('signup', 'purchase')")
+JUDGED = Relation("SELECT 'f' || CAST(user_id AS {str}) AS rel, 'd' || CAST(coalesce({k}, 0) % 3 AS {str}) AS digest, ts AS judged_at, 'v' || CAST(event_id AS {str}) AS verdict FROM {events} WHERE event_type IN ('click', 'view')")
+
+
+@query("d2_unanswered_edits", {"edits": EDITS, "judged": JUDGED}, """SELECT e.rel, e.digest, edited_at, judged_at, verdict, CASE WHEN judged_at IS NULL THEN 'stale' ELSE 'judged' END AS status
+    FROM edits e LEFT JOIN judged v ON v.rel = e.rel AND v.digest = e.digest AND judged_at >= edited_at AND judged_at <= edited_at + INTERVAL 1 DAY""")
+def d2_unanswered(edits, judged):
+    return state.unanswered(edits, judged, within="1 day")

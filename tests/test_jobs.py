@@ -197,3 +197,11 @@ def test_command_line(tmp_path):
     with pytest.raises(ValueError):
         own.write_text('{"no_such": 2}')
         config("source_worklist", str(own))
+
+
+def test_ledger_from_the_command_line_twice(tmp_path):
+    call = [sys.executable, "-m", "jobs.verdict_ledger", "--events", f"{SF}/events*.parquet", "--out", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/checkpoint"]
+    for read in (1000, 0):
+        done = subprocess.run(call, capture_output=True, text=True, cwd=Path(entry.__file__).parent, timeout=300)
+        assert done.returncode == 0 and f"done: {{'read': {read}," in done.stderr
+    assert list(tmp_path.glob("out/ledger/day=*/*.parquet"))

@@ -18,7 +18,7 @@ PARSING_ERROR, NO_INPUT, PARSE_EXIT = "PARSING ERROR", "failed to open input fil
 TRACE_START, UNWINDING = "[Counterexample]", "unwinding assertion"
 #: Where a text breaks into lines, and what counts as blank at a line's ends.
 LINE_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
-_BLANK = r"[\s\u000b\u001c-\u001f\u0085   -     　]"
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -33,7 +33,7 @@ def lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def captured(stdout: Column, stderr: Column) -> Column:
@@ -161,6 +161,11 @@ def clip(text: Column, most: int) -> Column:
     return F.substring(text, 1, most)
 
 
+def markers(every: Column) -> Column:
+    """Number of lines that are a trace marker."""
+    return F.size(F.filter(every, lambda line: line.contains(TRACE_START) & (strip(line) == TRACE_START)))
+
+
 def traces_in(text: Column) -> Column:
     """Number of lines that are a trace marker; a text with two or more is declined."""
-    return F.size(F.filter(lines(text), lambda line: strip(line) == TRACE_START))
+    return markers(lines(text))

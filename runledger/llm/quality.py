@@ -5,7 +5,7 @@ n of GRAMS). A softmax layer maps the average to the classes. Training is mini-b
 descent with per-weight step sizes (Adagrad) in numpy. Classes weigh in as they occur in the labelled rows.
 
 Training takes a bounded sample: of each class the TRAIN_ROWS labelled ids of smallest hash, and of rows that repeat an id
-the one of smallest packed bag. Their bags of features come to the driver compressed, at most BUCKETS weights an id. Scoring reads every whole text: vectors and
+the one of smallest packed bag. Their bags of features, at most BUCKETS weights an id, go compressed to one task, and what it learns to the driver. Scoring reads every whole text: vectors and
 softmax layer fold into one number per bucket, as the average and the layer are both linear before the softmax.
 
 Defined cases: null text counts as empty; an empty text scores the bias alone; rows whose id is null are never
@@ -100,7 +100,7 @@ def _unpacked(bag) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n)
 
 
-def sgd(bags: list[tuple[int, memoryview]], prior: float) -> tuple[np.ndarray, float]:
+def sgd(bags: list[tuple[int, bytes]], prior: float) -> tuple[np.ndarray, float]:
     """Learn from (label, packed bag); returns each bucket's part in the log odds of class 1, and the bias."""
     rng = np.random.default_rng(SEED)
     vectors, layer, bias = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM, np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -150,13 +150,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.where("label = 0").orderBy("order", id_col).limit(rows).unionByName(known.where("label = 1").orderBy("order", id_col).limit(rows))
     texts = docs.select(F.col(id_col), text_bytes(text_col).alias("t")).join(F.broadcast(sample.select(id_col, "label", "order")), id_col)  # 2 * rows narrow rows
     bags = texts.select("label", "order", "t").mapInArrow(_bags, "label int, order long, bag binary")
-    # One bag an id, however many rows repeat it; packed: the driver unpacks BATCH of them at a time.
-    bags = bags.groupBy("label", "order").agg(F.min("bag").alias("bag")).select("label", "bag").toArrow()
-    found = [(a, memoryview(b.as_buffer())) for a, b in zip(bags.column(0).to_pylist(), bags.column(1), strict=True)]
-    found.sort(key=lambda r: (r[0], xxhash.xxh3_128_digest(r[1])))  # one order whatever the partitions
-    if len({b[0] for b in found}) < 2:
+    # One bag an id, however many rows repeat it; packed: the task that learns unpacks BATCH of them at a time.
+    bags = bags.groupBy("label", "order").agg(F.min("bag").alias("bag")).select("label", "bag")
+    # One task gets the sample, 2 * rows bags at most, and the driver only what is learned.
+    model = bags.repartition(1).mapInArrow(_learned(prior), "part binary, bias double").first()
+    if model is None:
         return np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    return sgd(found, prior)
+    return np.frombuffer(model["part"], np.float64), model["bias"]
+
+
+def _learned(prior: float):
+    """Learn from batches of label and packed bag: one row, or none without two classes."""
+
+    def run(batches):
+        found = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        found.sort(key=lambda r: (r[0], xxhash.xxh3_128_digest(r[1])))  # one order whatever the partitions
+        if len({label for label, _ in found}) == 2:
+            part, bias = sgd(found, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["part", "bias"])
+
+    return run
 
 
 def held_out(id_col: str = "doc_id"):

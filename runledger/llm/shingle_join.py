@@ -57,14 +57,16 @@ def shingle_set(text: bytes) -> np.ndarray:
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, min(len(h), SHINGLE), np.uint64)
     for i in range(min(SHINGLE, len(h))):
         out += h[i : i + n] * _ODD[i]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(out >> np.uint64(1)).astype(np.int64)
+    out >>= np.uint64(1)
+    out.sort()  # np.unique takes several times as long: it hashes first
+    return out[np.append(True, out[1:] != out[:-1])].view(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -80,22 +82,22 @@ def _tokens(batches):
 
 def _rows(hot: bytes):
     """Batches of doc_id, text and, if wanted, a row's key, which follows the other columns."""
-    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("same", pa.binary()), ("prefix", pa.list_(pa.int64()))])
     often = np.frombuffer(hot, np.int64)
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingle_set(text.as_py())
+            for doc_id, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True):
+                s = shingle_set(text)
                 n = len(s)
                 at = np.searchsorted(often, s) if len(often) else np.zeros(n, np.int64)
                 is_hot = often[np.minimum(at, len(often) - 1)] == s if len(often) else np.zeros(n, bool)
                 ranked = np.where(is_hot, s, s - (1 << 62) - (1 << 62))  # often seen ones last
                 p = n - (3 * n + 3) // 4 + 1 if n else 0
                 ranked = np.sort(np.partition(ranked, p - 1)[:p]) if n else ranked
-                out.append((row, doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), ranked))
+                out.append((row, doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(text), ranked))
                 row += 1
             if out:
                 own = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)]
@@ -105,22 +107,24 @@ def _rows(hot: bytes):
 
 
 def _packed(batches):
-    """Texts compressed: they move once a comparison, and are smaller than their hashes."""
+    """Texts compressed, each with its own digest: they move once a comparison, and are smaller than their hashes."""
+    compress = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        blobs = [zstandard.compress(t.as_py(), 3) for t in batch.column(1)]
-        sigs = [xxhash.xxh3_128_digest(shingle_set(t.as_py()).tobytes()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(blobs, pa.binary())], names=["sig", "blob"])
+        texts = batch.column(1).to_pylist()
+        digests, blobs = map(xxhash.xxh3_128_digest, texts), map(compress, texts)
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], names=["same", "blob"])
 
 
 def _compare(batches):
     last, mine = None, None
+    text = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x = x.as_py()
             if x != last:
-                last, mine = x, shingle_set(zstandard.decompress(x))
-            keep.append(linked(mine, shingle_set(zstandard.decompress(y.as_py()))))
+                last, mine = x, shingle_set(text(x))
+            keep.append(linked(mine, shingle_set(text(y.as_py()))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -156,10 +160,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("t").mapInArrow(_tokens, "token long")
     often = sample.groupBy("token").count().where(F.col("count") >= SEEN).orderBy(F.col("count").desc(), "token").limit(HOT_TOKENS)
     hot = np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64)).tobytes()
-    rows = materialise(texts.mapInArrow(_rows(hot), "row_id long, doc_id long, n long, sig binary, prefix array<long>" + key_type), "rows")
+    rows = materialise(texts.mapInArrow(_rows(hot), "row_id long, doc_id long, n long, sig binary, same binary, prefix array<long>" + key_type), "rows")
 
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("row_id", "doc_id")).alias("r"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("least"))
-    classes = materialise(classes.select("sig", F.col("r.row_id").alias("rep"), F.col("r.doc_id").alias("rep_doc"), "least"), "classes")
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("row_id", "doc_id", "same")).alias("r"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("least"))
+    classes = materialise(classes.select("sig", F.col("r.row_id").alias("rep"), F.col("r.doc_id").alias("rep_doc"), F.col("r.same").alias("same"), "least"), "classes")
     own = rows.join(narrow_side(classes.select(F.col("rep").alias("row_id"))), "row_id", "left_semi")
     # Any number of texts may hold a frequent token: its holders are dealt by input partitions, and meet in the waves below.
     deal = F.when(F.col("token") >= 0, F.expr(f"shiftright(rep, 33) div {DEALT}")).otherwise(0).cast("int")
@@ -177,12 +181,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alike = F.col("count") >= ALIKE * F.col("p")
     best = F.max_by("other", F.struct(alike, F.when(alike, -F.col("at")).otherwise(F.col("count")), -F.col("other")))
     pairs = materialise(maybe.groupBy("rep").agg(best.alias("b")).select(F.col("rep").alias("a"), "b"), "pairs")
-    wanted = shared.select("rep").distinct().join(classes, "rep").select("rep", "sig", "rep_doc")
+    wanted = shared.select("rep").distinct().join(classes, "rep").select("rep", "same", "rep_doc")
     wanted = materialise(wanted, "wanted")
     n_wanted = wanted.count()
     ids = narrow_side(wanted.select("rep_doc"), n_wanted)
-    blobs = texts.select("doc_id", "t").join(ids, F.col("doc_id").eqNullSafe(F.col("rep_doc")), "left_semi").mapInArrow(_packed, "sig binary, blob binary")
-    blobs = materialise(blobs.join(narrow_side(wanted.select("rep", "sig"), n_wanted), "sig").dropDuplicates(["rep"]).select("rep", "blob"), "texts", "uncompressed")
+    blobs = texts.select("doc_id", "t").join(ids, F.col("doc_id").eqNullSafe(F.col("rep_doc")), "left_semi").mapInArrow(_packed, "same binary, blob binary")
+    blobs = materialise(blobs.join(narrow_side(wanted.select("rep", "same"), n_wanted), "same").dropDuplicates(["rep"]).select("rep", "blob"), "texts", "uncompressed")
     groups = components(materialise(_verified(pairs, blobs), "links-0"))
 
     done = [pairs]  # pairs of classes that were compared

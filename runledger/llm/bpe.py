@@ -46,9 +46,15 @@ LINES = 32
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _OTHER = re.compile("[^\x00-\x7fÀ-ſ]")
 _PLAIN = re.compile(f" ?[{_LETTERS}]+")
+_UNEVEN = re.compile(f"[^\x00-\x7f{_LETTERS}]")
 _WORDS = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9À-ÖØ-öø-ſ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+def is_plain(text: str) -> bool:
+    """Whether all that is not ASCII are letters of _LETTERS."""
+    return not _UNEVEN.search(text)
+
+
 class Coder:
     """A byte-level tokenizer, its split into words and its vocabulary pieces."""
 

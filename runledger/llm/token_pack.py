@@ -11,6 +11,10 @@ blocks | footer: docs u64, ids u64, offset of the doc_id part u64, magic.
 Shards are written by tasks under names of their own; the manifest names those of successful tasks, so a lost
 executor's half-written shards are never read. Writing goes through pyarrow's file systems (file, hdfs, s3, gs).
 
+Texts are encoded in parts: their words are found by the kinds of bytes for the whole part, Arrow numbers the distinct
+ones, and those that the worker does not remember go to the tokenizers library. Texts with other letters than Latin
+ones, or with added tokens, are split by the coder text by text.
+
 The number of shards grows with the texts, so a task writes about SHARD_BYTES of text at every size. Rows that share
 a doc_id, or have none, may go to several shards.
 
@@ -32,12 +36,21 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Numbered, coder, ragged
+from .bpe import Numbered, coder, is_plain, ragged
 from .store import text_rows, text_volume
 
 MAGIC, BLOCK_IDS, END_ID = b"RLPK", 4096, 0
-#: Words whose ids a worker remembers; emptied when full. Bytes of text encoded at once, and held by a shard.
-REMEMBERED, PART_BYTES, SHARD_BYTES = 400_000, 4_000_000, 64_000_000
+#: Words whose ids a worker remembers, before those that came once are forgotten. Bytes of text encoded at once, and held by a shard.
+REMEMBERED, PART_BYTES, SHARD_BYTES = 800_000, 8_000_000, 64_000_000
+#: A byte that no UTF-8 text has; it stands behind each text, as a word of its own.
+END = 255
+#: Kinds of bytes in a plain text.
+_SIGN, _LETTER, _DIGIT, _BLANK, _END = range(5)
+_KINDS = np.full(256, _SIGN, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, END)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[[*range(9, 14), 32]] = _BLANK
+_KINDS[END] = _END
 
 
 def width(vocabulary: int) -> int:
@@ -124,58 +137,113 @@ class Shard:
         return self.read(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def starts_of_words(data: np.ndarray) -> np.ndarray:
+    """Whether a word starts at each byte, and at the end, of plain texts that END closes: the words of the byte-level pattern.
+
+    Words are runs of one kind; a space before a run belongs to it, another last blank is a word of its own, and so are
+    's, 't, 're, 've, 'm, 'll and 'd where a run starts with the quote.
+    """
+    kind = _KINDS[data]
+    end, blank = kind == _END, kind == _BLANK
+    first = np.ones(len(data) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=first[1:-1])
+    first[:-1] |= end
+    last = np.flatnonzero(blank[:-1] & ~blank[1:] & ~end[1:])
+    first[last] = True
+    first[last[data[last] == 32] + 1] = False
+    quote = np.flatnonzero((data == 39) & first[:-1])
+    one = quote[np.isin(data[quote + 1], list(b"stmd"))]
+    two = quote[np.isin(data[quote + 1], list(b"rvl"))]
+    two = two[np.isin(data[two + 1].astype(int) * 256 + data[two + 2], [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])]
+    first[one + 1] = first[two + 1] = False
+    first[one + 2] = first[two + 3] = True
+    return first
+
+
 class _Memory:
     """Ids of words seen by this worker."""
 
     def __init__(self, path: str):
         self.coder = coder(path)
-        self.clear()
-
-    def clear(self):
-        self.seen, self.flat, self.lens, self.starts = Numbered(), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each text, and all ids, END_ID after each text."""
+        self.added = [t.encode() for t in self.coder.added]
+        self.seen, self.flat, self.lens, self.starts = Numbered({bytes([END]): 0}), np.array([END_ID], np.int32), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.again = np.zeros(1, bool)  # words that a later part had, too
+
+    def forget(self) -> None:
+        """Keep the end and words that came again, half of REMEMBERED at most."""
+        self.again[0] = True
+        kept = np.flatnonzero(self.again)[: max(1, REMEMBERED // 2)]
+        words = list(self.seen)
+        self.seen = Numbered({words[n]: i for i, n in enumerate(kept.tolist())})
+        self.flat, self.lens = ragged(self.flat, self.starts, self.lens, kept), self.lens[kept]
+        self.starts, self.again = np.cumsum(self.lens) - self.lens, np.zeros(len(kept), bool)
+
+    def number(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words; new ones are encoded."""
         if len(self.seen) > REMEMBERED:
-            self.clear()
-        if not self.seen:
-            self.seen.of([None])  # the end
-            self.flat, self.lens, self.starts = np.array([END_ID], np.int32), np.ones(1, np.int64), np.zeros(1, np.int64)
-        known, idx = len(self.seen), []
-        for t in texts:
-            words = self.coder.words(t)
-            words.append(None)
-            idx.append(self.seen.of(words))
+            self.again[[self.seen[w] for w in words if w in self.seen]] = True
+            self.forget()
+        known = len(self.seen)
+        nums = self.seen.of(words)
+        self.again[nums[nums < known]] = True
         if len(self.seen) > known:
-            lens, flat = self.coder.encode(list(islice(self.seen, known, None)))
+            lens, flat = self.coder.encode([w.decode() for w in islice(self.seen, known, None)])
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
             self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
-        counts, idx = np.fromiter(map(len, idx), np.int64, len(idx)), np.concatenate(idx)
-        return np.add.reduceat(self.lens[idx], np.cumsum(counts) - counts), ragged(self.flat, self.starts, self.lens, idx)
+            self.again = np.concatenate([self.again, np.zeros(len(lens), bool)])
+        return nums
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids, END_ID after each text."""
+        parts, split, at = [], [], 0
+        for t in texts:
+            if any(a in t for a in self.added) or not (t.isascii() or is_plain(t.decode("utf-8", "replace"))):
+                words = [w.encode() for w in self.coder.words(t.decode("utf-8", "replace"))]
+                t = b"".join(words)
+                split.append((at, at + len(t), np.cumsum([0, *map(len, words)])))
+            parts += [t, bytes([END])]
+            at += len(t) + 1
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        first = starts_of_words(data)
+        for a, b, cuts in split:
+            first[a:b] = False
+            first[a + cuts] = True
+        starts = np.flatnonzero(first)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        idx = self.number(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+        ends = np.flatnonzero(idx == 0)  # number 0 is the end
+        return np.diff(np.cumsum(self.lens[idx])[ends], prepend=0), ragged(self.flat, self.starts, self.lens, idx)
 
 
 _memories: dict[str, _Memory] = {}
 
 
+def _parts(batches):
+    """doc_ids and texts of about PART_BYTES."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text)
+            if size >= PART_BYTES:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _writer(tokenizer: str, folder: str):
     def run(batches):
         if tokenizer not in _memories:
             _memories[tokenizer] = _Memory(tokenizer)
         memory, shard, name = _memories[tokenizer], None, f"{folder}/{uuid.uuid4().hex}.bits"
-        for batch in batches:
-            ids, texts, size = [], [], 0
-            rows = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            for i, (doc_id, text) in enumerate(rows):
-                text = text.as_py()
-                ids.append(doc_id)
-                texts.append(text.decode("utf-8", "replace"))
-                size += len(text)
-                if size >= PART_BYTES or i == batch.num_rows - 1:
-                    if shard is None:
-                        system, path = _open(name)
-                        shard = ShardWriter(system.open_output_stream(path), width(memory.coder.size))
-                    shard.add(ids, *memory.encode(texts))
-                    ids, texts, size = [], [], 0
+        for ids, texts in _parts(batches):
+            if shard is None:
+                system, path = _open(name)
+                shard = ShardWriter(system.open_output_stream(path), width(memory.coder.size))
+            shard.add(ids, *memory.encode(texts))
         if shard:
             n = shard.close()
             shard.out.close()
